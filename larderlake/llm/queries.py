@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, warc
+from . import langid, media, mixing, quality, warc
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op4_mixing": mixing.query,
+    "op6_langid": langid.query,
     "op9_media": media.query,
     "op10_warc": warc.query,
 }
