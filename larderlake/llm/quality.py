@@ -19,8 +19,8 @@ from .langid import code_points
 
 A = 64
 ORDER = 4
-#: Trusted documents that stay below the threshold, and what is allowed beyond it in log perplexity.
-QUANTILE, SLACK = 0.99, 0.05
+#: Share of trusted documents below the quantile; what is allowed beyond it in log perplexity, and besides for short texts, over the root of their length.
+QUANTILE, SLACK, SHORT = 0.99, 0.05, 3.0
 
 
 def _classes() -> np.ndarray:
@@ -136,12 +136,13 @@ def perplexities(docs: DataFrame, model: np.ndarray, text: str = "text") -> Data
     return base.mapInArrow(run, out)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, short: float = SHORT) -> DataFrame:
     """(doc_id, lang, n_characters, log_perplexity, threshold, trusted, accepted) of each row of docs (doc_id, text, lang).
 
     Trusted: labelled with quality 1 and toxic 0 (null toxic: 0). The model
     learns from all of them. threshold: the quantile of the trusted documents'
-    log perplexity in the row's language, plus slack; of all trusted ones where
+    log perplexity in the row's language, plus slack, plus `short` over the
+    root of the row's number of characters (short texts vary more); of all trusted ones where
     the language has none or is null. Accepted: not above the threshold.
     Without text, without trusted documents: accepted. Repeated rows stay,
     repeated labels count once; an empty table gives an empty one.
@@ -155,7 +156,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     known = scored.where("trusted and log_perplexity is not null")
     own = known.where("lang is not null").groupBy("lang").agg(cut.alias("_own"))
     whole = known.agg(cut.alias("_all")).first()[0]
-    out = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(whole).cast("double")))
+    out = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(whole).cast("double")) + F.lit(float(short)) / F.sqrt(F.greatest("n_characters", F.lit(1))))
     return out.select("doc_id", "lang", "n_characters", "log_perplexity", "threshold", "trusted", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted"))
 
 
