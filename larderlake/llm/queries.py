@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, quality, warc
+from . import decontaminate, langid, media, mixing, pii, quality, warc
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_mixing": mixing.query,
     "op6_langid": langid.query,
+    "op7_pii": pii.query,
     "op9_media": media.query,
     "op10_warc": warc.query,
 }
