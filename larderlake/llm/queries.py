@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, media, mixing, pii, quality, warc
+from . import decontaminate, langid, media, mixing, pii, quality, repeats, tokens, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op3_decontaminate": decontaminate.query,
     "op4_mixing": mixing.query,
+    "op5_repeats": repeats.query,
     "op6_langid": langid.query,
     "op7_pii": pii.query,
+    "op8_tokens": tokens.query,
     "op9_media": media.query,
     "op10_warc": warc.query,
 }
