@@ -149,12 +149,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = fit(base.select("doc_id", "text").join(good, "doc_id", "left_semi"))
+    # a shuffle at every size: the labels grow with the documents
+    model = fit(base.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
     scored = keep(perplexities(base, model))
     scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     cut = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(100_000)) + F.lit(slack)
     known = scored.where("trusted and log_perplexity is not null")
-    own = known.where("lang is not null").groupBy("lang").agg(cut.alias("_own"))
+    # a row for each language; as a local relation Spark knows its size before it chooses the join
+    own = docs.sparkSession.createDataFrame(known.where("lang is not null").groupBy("lang").agg(cut.alias("_own")).collect(), "lang string, _own double")
     whole = known.agg(cut.alias("_all")).first()[0]
     out = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(whole).cast("double")) + F.lit(float(short)) / F.sqrt(F.greatest("n_characters", F.lit(1))))
     return out.select("doc_id", "lang", "n_characters", "log_perplexity", "threshold", "trusted", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted"))
