@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from .common import keep, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 200_000
 MAX_SHARDS = 1 << 16  # bounds what the driver sees besides a row for each source
 MOST = 3  # times a source's size
 
