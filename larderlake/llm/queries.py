@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, media, mixing, pii, quality, repeats, tokens, warc
+from . import decontaminate, langid, media, mixing, ngram_join, pii, quality, repeats, tokens, warc
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_ngram_join": ngram_join.query,
     "op3_decontaminate": decontaminate.query,
     "op4_mixing": mixing.query,
     "op5_repeats": repeats.query,
@@ -16,4 +17,6 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.ORACLE_SQL,
+}
