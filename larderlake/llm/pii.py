@@ -93,16 +93,19 @@ def disclosing(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE
     """
     e = near.groupBy("kind", "entity").agg(F.countDistinct("context").alias("ne"))
     et = near.groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("net")).where(F.col("net") >= support)
-    et = keep(et.join(e, ["kind", "entity"]))
     total = found.count()
+    strength = lambda both, n: F.log(F.col(both) * F.lit(float(total)) / (F.col("ne") * F.col(n))) / F.log(F.lit(float(total)) / F.col("ne"))
+    # n(t) is at least the documents that hold t near an entity: terms that fail by that count fail by the whole one
+    least = near.groupBy("term").agg(F.greatest(F.lit(1), F.countDistinct("doc_id", "key")).alias("least"))
+    et = et.join(e, ["kind", "entity"]).join(least, "term").where(F.col("ne") < total).where(strength("net", "least") >= disclosure)
+    et = keep(et.drop("least"))
     terms = et.select("term").distinct()
     stems = terms.select(F.substring("term", 1, stem).alias("stem")).distinct()
     words = found.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0)"))).alias("term"))
     nt = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("nt"))
     stemmed = found.select(F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> substring(w, 1, {stem})))")).alias("stem"))
     ns = stemmed.join(stems, "stem").groupBy("stem").agg(F.count("*").alias("ns"))
-    strength = lambda both, n: F.log(F.col(both) * F.lit(float(total)) / (F.col("ne") * F.col(n))) / F.log(F.lit(float(total)) / F.col("ne"))
-    out = keep(et.join(nt, "term")).where(F.col("ne") < total).withColumn("_d", strength("net", "nt")).where(F.col("_d") >= disclosure)
+    out = keep(et.join(nt, "term")).withColumn("_d", strength("net", "nt")).where(F.col("_d") >= disclosure)
     out = out.withColumn("stem", F.substring("term", 1, stem)).join(ns, "stem").withColumn("_g", strength("net", "ns"))
     return out.select("kind", "entity", "term", F.when(F.col("_g") < disclosure, F.concat("stem", F.lit("*"))).alias("generalised"))
 
