@@ -95,8 +95,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), block: int
     rows = []
     for i, own in cells.items():
         ks = sorted(own)
-        for k, q in zip(ks, sainte_lague([own[k] for k in ks], quota[i])):
-            s, words = own[k], min(q * block, most * own[k])
+        words_of = {k: min(q * block, most * own[k]) for k, q in zip(ks, sainte_lague([own[k] for k in ks], quota[i]))}
+        left = quota[i] * block - sum(words_of.values())  # what full shards leave goes to those with room
+        for k in ks:
+            more = min(left, most * own[k] - words_of[k])
+            words_of[k] += more
+            left -= more
+            s, words = own[k], words_of[k]
             rows.append((i, k, s, words // s if s else 0, words % s if s else 0))
     quotas = spark.createDataFrame(rows, "_i int, _k int, _size long, _rounds long, _rest long")
     run = Window.partitionBy("_i", "_k").orderBy("_h", "_d", "_t").rowsBetween(Window.unboundedPreceding, 0)
