@@ -47,7 +47,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for i below n."""
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(n, 1):
         m = max(n, SLICE + 1)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             x = np.full(m, base, U)
