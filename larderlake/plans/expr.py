@@ -386,14 +386,17 @@ class Tagged:
                 return V.av_literal(x.value)
             return F.when(F.map_contains_key(now, x.name), now[x.name]).otherwise(F.raise_error(F.lit(f"no attribute {x.name}")).cast(V.AV))
 
+        def without(now, name):
+            return F.map_filter(now, lambda k, _: k != name)
+
         def put(now, name, av):
-            return F.map_concat(F.map_filter(now, lambda k, _: k != name), F.create_map(F.lit(name), av.cast(V.AV)))
+            return F.map_concat(without(now, name), F.create_map(F.lit(name), av.cast(V.AV)))
 
         for a in actions:
             if a.kind == "SET":
                 now = put(now, a.name, amount(a.value, now))
             elif a.kind == "REMOVE":
-                now = F.map_filter(now, lambda k, _, name=a.name: k != name)
+                now = without(now, a.name)
             elif a.kind == "ADD":
                 v = amount(a.value, now)
                 now = put(now, a.name, F.when(F.map_contains_key(now, a.name), amount(Arithmetic("+", Path(a.name), a.value), now)).otherwise(v))

@@ -47,18 +47,13 @@ def json_lines(df: DataFrame) -> DataFrame:
     """
     if not _tagged(df):
         return df.select(F.to_json(F.struct(*[F.base64(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`") for f in df.schema.fields])).alias("value"))
-    import pandas as pd
-
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'^\{"x":(.*)\}$', 1)
     names = F.array_sort(F.map_keys("attrs"))
     deep = F.exists(F.map_values("attrs"), lambda v: v["t"].isin("L", "M"))
     js = F.when(deep, F.transform(names, lambda k: F.col("attrs")[k]["j"]))
     flat = df.withColumn("__n", names).withColumn("__j", js)
 
-    @F.pandas_udf("array<string>")
-    def all_nested(s: pd.Series) -> pd.Series:
-        return s.map(lambda xs: None if xs is None else [plain_json(x) for x in xs])
-
+    all_nested = F.pandas_udf(lambda s: s.map(lambda xs: None if xs is None else [plain_json(x) for x in xs]), "array<string>", F.PandasUDFType.SCALAR)
     flat = flat.withColumn("__p", all_nested("__j"))
     parts = F.transform(F.col("__n"), lambda k, i: F.concat(quoted(k), F.lit(":"), F.coalesce(F.when(F.col("attrs")[k]["t"].isin("L", "M"), F.col("__p")[i]), V.to_json_text(F.col("attrs")[k]))))
     return flat.select(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("value"))
