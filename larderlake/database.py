@@ -275,20 +275,29 @@ class Database:
     def _single(self, o: Operation, validate: bool = False):
         return self.write([o], atomic=False, validate=validate)[0]
 
-    def put_many(self, rows: DataFrame, validate: bool = False) -> int:
-        """Puts the rows of a DataFrame (pk, sk, attrs) of any size in one commit; they never pass the driver. Repeated keys: an arbitrary one of them wins."""
+    def append(self, rows: DataFrame, validate: bool = False) -> int:
+        """Writes the rows of a DataFrame (pk, sk, attrs[, deleted][, at]) of any size in one commit; they never pass the driver.
+
+        Of a repeated key an arbitrary row wins. Returns how many rows it wrote.
+        """
         head = self.head()
         # sequence numbers by partition offsets: no sort, no single task
-        numbered = rows.select("pk", "sk", "attrs").withColumn("_n", F.monotonically_increasing_id())
-        out = numbered.select("pk", "sk", (F.lit(head["seq"]) + 1 + F.col("_n")).alias("seq"), F.lit(False).alias("deleted"), F.lit(self.now()).alias("at"), "attrs")
+        extra = {"deleted": F.lit(False), "at": F.lit(self.now())}
+        out = rows.select("pk", "sk", "attrs", *[c if c in rows.columns else v.alias(c) for c, v in extra.items()])
+        out = out.withColumn("seq", F.lit(head["seq"]) + 1 + F.monotonically_increasing_id())
         if validate:
             self._check_items(out)
         name = uuid.uuid4().hex
         out.select(*[F.col(f.name).cast(f.dataType) for f in ROWS.fields]).withColumn("stripe", stripe()).repartition("stripe").write.partitionBy("stripe").option("compression", "zstd").parquet(f"{self.path}/data/{name}")
         top = self.spark.read.schema(ROWS).parquet(f"{self.path}/data/{name}").agg(F.max("seq"), F.count("*")).first()
-        self._publish(head | {"commit": head["commit"] + 1, "seq": top[0] or head["seq"], "data": [*head["data"], name], "spec": self.spec.to_json()})
+        if top[1]:
+            self._publish(head | {"commit": head["commit"] + 1, "seq": top[0], "data": [*head["data"], name], "spec": self.spec.to_json()})
         return top[1]
 
+    def put_many(self, rows: DataFrame, validate: bool = False) -> int:
+        """Puts the rows of a DataFrame (pk, sk, attrs) of any size in one commit."""
+        return self.append(rows.select("pk", "sk", "attrs"), validate)
+
     def batch_write(self, puts: Iterable[tuple[Key, dict]] = (), deletes: Iterable[Key] = (), operations: Iterable[Operation] = ()) -> int:
         """Ordered puts, then deletes, then operations; of one key the last wins. Returns how many were done."""
         ops = [*(Operation("put", k, i) for k, i in puts), *(Operation("delete", k) for k in deletes), *operations]
@@ -382,16 +391,9 @@ class Database:
         """Tombstones for all expired items, in one commit."""
         if not self.spec.ttl:
             return 0
-        head, at = self.head(), self.now() / 1000 if now is None else now
-        gone = ttl.expired(L.live(self.log(head["commit"])), self.spec.ttl, at).select("pk", "sk")
-        n = gone.count()
-        if n:
-            rows = gone.withColumn("_n", F.monotonically_increasing_id()).select("pk", "sk", (F.lit(head["seq"]) + 1 + F.col("_n")).alias("seq"), F.lit(True).alias("deleted"), F.lit(self.now()).alias("at"), F.lit(None).cast(V.ATTRS).alias("attrs"))
-            name = uuid.uuid4().hex
-            rows.withColumn("stripe", stripe()).write.partitionBy("stripe").parquet(f"{self.path}/data/{name}")
-            top = self.spark.read.schema(ROWS).parquet(f"{self.path}/data/{name}").agg(F.max("seq")).first()[0]
-            self._publish(head | {"commit": head["commit"] + 1, "seq": top, "data": [*head["data"], name], "spec": self.spec.to_json()})
-        return n
+        at = self.now() / 1000 if now is None else now
+        gone = ttl.expired(L.live(self.log()), self.spec.ttl, at)
+        return self.append(gone.select("pk", "sk", F.lit(None).cast(V.ATTRS).alias("attrs"), F.lit(True).alias("deleted")))
 
     def stats(self) -> dict:
         """Counts of keys, partitions and stripes, and of the commits and data folders."""
