@@ -207,3 +207,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda c: F.expr(f"aggregate({c}, 0L, (a, x) -> a + x.end - x.start)")
     text = F.expr("array_join(transform(repeated, x -> concat(x.start, ':', x.end)), ',')")
     return repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", n("repeated").alias("repeated_words"), n("removable").alias("removable_words"), text.alias("spans"))
+
+
+ORACLE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), places AS (SELECT doc_id, w, unnest(range(CAST(len(w) AS BIGINT) - 49)) AS i FROM words WHERE len(w) >= 50),
+keyed AS (SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS k FROM places),
+same AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM keyed),
+hits AS (SELECT doc_id, i, 'a' AS kind FROM same WHERE n > 1 UNION ALL SELECT doc_id, i, 'b' FROM same WHERE r > 1),
+begun AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 50 THEN 0 ELSE 1 END AS new FROM hits WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM begun),
+spans AS (SELECT doc_id, kind, min(i) AS a, max(i) + 50 AS z FROM runs GROUP BY doc_id, kind, run),
+sums AS (SELECT doc_id, sum(z - a) FILTER (kind = 'a') AS x, sum(z - a) FILTER (kind = 'b') AS y, string_agg(a || ':' || z, ',' ORDER BY a) FILTER (kind = 'a') AS s FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(x, 0) AS BIGINT) AS repeated_words, CAST(coalesce(y, 0) AS BIGINT) AS removable_words, coalesce(s, '') AS spans FROM words LEFT JOIN sums USING (doc_id)
+"""

@@ -212,3 +212,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
     return read.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", page("refers_to")).alias("refers_to"))
 
+
+
+#: Base32 by hand: 40 hexadecimal digits to 160 bits to 32 letters.
+ORACLE_SQL = """
+WITH coded AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+    array_to_string(list_transform(string_split(sha1(encode(coalesce(html, ''))), ''), lambda c: lpad(bin(strpos('123456789abcdef', c)), 4, '0')), '') AS bits FROM pages
+), named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_reduce(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS INT), 1) AS INT) * CAST(2 ** (4 - j) AS INT)), lambda x, y: x + y) AS INT) + 1, 1)), '') AS payload_digest FROM coded
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM named)
+"""
