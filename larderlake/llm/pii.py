@@ -146,20 +146,59 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     its mark too. Null text stays null.
     """
     slim, terms = all_spans(docs, disclosure, support)
-    base = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    base = docs.withColumn("__pii_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     mark = "case x.kind " + " ".join(f"when '{k}' then '{MARKS[k]}'" for k in KINDS) + " end"
-    found = slim.where("size(spans) > 0").dropDuplicates(["doc_id", "key"]).join(terms, ["doc_id", "key"], "left")
+    found = slim.where("size(spans) > 0").dropDuplicates(["doc_id", "key"])
+    named = terms.select(F.col("doc_id").alias("__pii_a"), F.col("key").alias("__pii_b"), "terms")
+    found = found.join(named, F.expr("doc_id <=> __pii_a and key = __pii_b"), "left")
     spans = F.expr(f"""array_sort(concat(
         transform(spans, x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', {mark})),
         transform(coalesce(terms, array()), x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', coalesce(x.generalised, '{MARKS["term"]}')))))""")
-    found = found.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), spans.alias("_spans"))
-    out = base.join(found, (base.doc_id.eqNullSafe(found._d)) & (base._key == found._k), "left")
-    text = F.expr("""aggregate(_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    found = found.select(F.col("doc_id").alias("__pii_doc"), F.col("key").alias("__pii_k"), spans.alias("__pii_spans"))
+    out = base.join(found, (base.doc_id.eqNullSafe(found["__pii_doc"])) & (base["__pii_key"] == found["__pii_k"]), "left")
+    text = F.expr("""aggregate(__pii_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', concat(a.out, array(substring(text, a.at + 1, greatest(0, x.start - a.at)), x.mark)))),
         a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))""")
-    return out.withColumn("text", F.when(F.col("_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    return out.withColumn("text", F.when(F.col("__pii_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: personal data in every whole text."""
     return detect(table(spark, sf_dir, "documents"))
+
+
+def _matches(kind: str, source: str, text: str, pattern: str, keys: str, at: str = "0") -> str:
+    """DuckDB SQL: a row for each match of a pattern in a text, with its code points."""
+    return f"""SELECT {keys}, '{kind}' AS kind, {at} + CAST(list_sum(list_transform(p[1 : i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i], lambda x: length(x))), 0) AS INT) AS s, m[i + 1] AS v
+        FROM (SELECT *, unnest(range(CAST(len(m) AS BIGINT))) AS i FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS m, string_split_regex({text}, '{pattern}') AS p FROM {source}))"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(CAST(length({_DIGITS}) AS BIGINT)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INT), 1) AS INT) ELSE CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INT), 1) AS INT) * 2 - 9 * CAST(CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS INT), 1) AS INT) > 4 AS INT) END)) % 10 = 0"
+ORACLE_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  {_matches('email', "(SELECT * FROM docs WHERE contains(t, '@'))", 't', r'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 'k, t, 1 AS o')} UNION ALL
+  {_matches('ip', 'docs', 't', r'[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 'k, t, 2 AS o')} UNION ALL
+  {_matches('card', 'docs', 't', r'[0-9](?:[ -]?[0-9])+', 'k, t, 3 AS o')} UNION ALL
+  {_matches('phone', 'docs', 't', r'\+[0-9][ ().0-9-]+[0-9]', 'k, t, 4 AS o')}
+), base AS (
+  SELECT *, s + CAST(length(v) AS INT) AS e, CASE WHEN kind = 'email' THEN lower(v) ELSE regexp_replace(v, '[^0-9.]', '', 'g') END AS entity FROM found
+  WHERE CASE kind WHEN 'email' THEN TRUE WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN} ELSE length({_DIGITS}) BETWEEN 9 AND 15 END
+), windows AS (SELECT k, o, kind AS kd, entity, greatest(0, s - {REACH}) AS l0, e AS r0, substr(t, greatest(0, s - {REACH}) + 1, s - greatest(0, s - {REACH})) AS l, substr(t, e + 1, {REACH}) AS r FROM base),
+sides AS (
+  SELECT * FROM ({_matches('l', 'windows', 'l', r'\p{L}{3,}', 'k, kd, entity, l, r, l0', 'l0')}) WHERE s > l0 OR l0 = 0 UNION ALL
+  SELECT * FROM ({_matches('r', 'windows', 'r', r'\p{L}{3,}', 'k, kd, entity, l, r, r0', 'r0')}) WHERE s + length(v) - r0 < {REACH}
+), near AS (SELECT k, kd, entity, l, r, lower(v) AS term, s, s + CAST(length(v) AS INT) AS e FROM sides),
+ne AS (SELECT kd, entity, count(DISTINCT (l, r)) AS ne FROM near GROUP BY 1, 2),
+net AS (SELECT kd, entity, term, count(DISTINCT (l, r)) AS net FROM near GROUP BY 1, 2, 3 HAVING count(DISTINCT (l, r)) >= {SUPPORT}),
+nt AS (SELECT term, count(*) AS nt FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\p{{L}}{{3,}}'))) AS term FROM docs) WHERE term IN (SELECT term FROM net) GROUP BY term),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM docs),
+strong AS (SELECT kd, entity, term FROM net JOIN ne USING (kd, entity) JOIN nt USING (term), total WHERE ne < n AND ln(net * n / (ne * nt)) / ln(n / ne) >= {DISCLOSURE}),
+terms AS (SELECT DISTINCT k, s, e FROM near JOIN strong USING (kd, entity, term)),
+b AS (SELECT k, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS x FROM base GROUP BY k),
+c AS (SELECT k, count(*) AS n_term, string_agg('term:' || s || ':' || e, ',' ORDER BY s, e) AS y FROM terms GROUP BY k)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(x, '')) AS base_sha256, coalesce(n_term, 0) AS n_term, concat_ws(',', x, y) AS spans
+FROM docs LEFT JOIN b USING (k) LEFT JOIN c USING (k)
+"""

@@ -20,5 +20,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op5_repeats": repeats.ORACLE_SQL,
+    "op7_pii": pii.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }

@@ -19,6 +19,7 @@ from .common import U, batches, mix, rolling, slices, table, windows
 
 LEAST = 50
 SEED = 8
+NULL_ID = -(1 << 63)  # stands for a null doc_id on the way
 GROUP = 2_000_000  # windows compared at once, one seed's at least
 
 
@@ -65,7 +66,7 @@ def suffixes(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame
 
     def run(it):
         for b in it:
-            ids = np.array([-1 if x is None else x for x in b["doc_id"].to_pylist()], np.int64)
+            ids = np.array([NULL_ID if x is None else x for x in b["doc_id"].to_pylist()], np.int64)
             for s in slices(b["text"]):
                 h, begin = s.hashes()
                 p, code, first, last, sums = minimisers(h, begin, least, seed)
@@ -199,7 +200,7 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
         F.collect_set(F.when((F.col("end") > 0) & ~F.col("removable"), span)).alias("_a"),
         F.collect_set(F.when((F.col("end") > 0) & F.col("removable"), span)).alias("_b"),
     )
-    return out.select(F.when(F.col("doc_id") != -1, F.col("doc_id")).alias("doc_id"), "n_words", F.expr(_MERGE.format("_a")).alias("repeated"), F.expr(_MERGE.format("_b")).alias("removable"))
+    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words", F.expr(_MERGE.format("_a")).alias("repeated"), F.expr(_MERGE.format("_b")).alias("removable"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ END = 50256
 #: Fixed value: the pattern that splits a text before byte-pair merges in this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1 << 18  # tokens
+NULL_ID = -(1 << 63)  # stands for a null doc_id in a side list
 _encoders: dict[str, object] = {}
 
 
@@ -45,7 +46,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
     tokens: little-endian uint16 ids of one block, cut without regard to
     documents. ids: the file's side list, the int64 doc_ids in the order of
     the documents, in rows with null tokens where `block` is the place of the
-    first. Null text: no token, its end id alone. Null doc_id: -1.
+    first. Null text: no token, its end id alone. Null doc_id: NULL_ID.
     """
 
     def run(it):
@@ -62,7 +63,7 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
                     yield {"file": [file] * full, "block": list(range(at, at + full)), "tokens": [x[i * block : (i + 1) * block].tobytes() for i in range(full)], "ids": [None] * full}
                     held, at = [x[full * block :]], at + full
                     n = len(held[0])
-            ids = np.array([-1 if x is None else x for x in b["doc_id"].to_pylist()], "<i8")
+            ids = np.array([NULL_ID if x is None else x for x in b["doc_id"].to_pylist()], "<i8")
             yield {"file": [file], "block": [listed], "tokens": [None], "ids": [ids.tobytes()]}
             listed += len(ids)
         if n:
@@ -160,4 +161,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield {"file": [file] * len(x), "document": range(first, first + len(x)), "doc_id": x}
 
     ids = batches(stored.where("ids is not null").select("file", "block", "ids"), listed, "file long, document long, doc_id long")
-    return ids.join(scan(stored), ["file", "document"]).select("doc_id", "n_tokens")
+    return ids.join(scan(stored), ["file", "document"]).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_tokens")

@@ -102,6 +102,19 @@ def test_fixture_rows(spark):
     assert "term:11:18" in got[10].spans
 
 
+def test_sql(spark):
+    """The SQL where terms disclose, and on texts without anything."""
+    import duckdb
+
+    con = duckdb.connect()
+    rows = [(i, f"the keeper zorblax lives near 10.1.2.3 by lane {'abc' * (i + 1)} road x{i}@mail.example.org, +49 30 1234567{i} 4111 1111 1111 1111") for i in range(6)] + [(i, f"the lane here is plain and zone {i}") for i in range(20, 40)] + [(50, None), (51, "")]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute(pii.ORACLE_SQL).fetchall())
+    got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select(*[d[0] for d in con.description]).collect())) == want and any("term" in r[-1] for r in want)
+
+
 def test_whole_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(sf + "/documents.parquet").select("doc_id", "text").collect()]
     compare(spark, rows)
@@ -125,6 +138,15 @@ def test_sanitise_matches_spans(spark):
         assert r.text == out + text[at:]
 
 
+def test_null_ids_and_clashing_names(spark):
+    text = "the keeper zorblax lives near 10.1.2.3 by the lane"
+    rows = [(None if i < 2 else i, f"{text} {'abc' * (i + 1)}", "keep") for i in range(6)] + [(9, "plain", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string").selectExpr("*", "spans AS key", "spans AS terms", "spans AS kind", "spans AS start")
+    out = pii.sanitise(df).collect()
+    assert len(out) == 7 and all("10.1.2.3" not in r.text and "zorblax" not in r.text and r.key == "keep" for r in out if r.text != "plain") and out[0].asDict().keys() == set(df.columns)
+    assert pii.detect(df).where("n_ip = 1 and n_term > 0").count() == 6
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(df).count() == 0 and pii.sanitise(df).count() == 0

@@ -58,5 +58,11 @@ def test_hot_passage_and_groups(spark, monkeypatch):
     compare(spark, [(i, f"{i} {p} z{i}") for i in range(300)] + [(1000 + i, " ".join(f"k{i}_{j}" for j in range(80))) for i in range(50)], 50)
 
 
+def test_null_ids(spark):
+    p = " ".join(f"p{i}" for i in range(60))
+    got = {r.doc_id: r for r in repeats.repeats(spark.createDataFrame([(None, p), (-1, "a " + p), (3, None)], "doc_id long, text string")).collect()}
+    assert got[None].removable == [] and [tuple(x) for x in got[-1].removable] == [(1, 61)] and got[3].n_words == 0
+
+
 def test_empty(spark):
     assert repeats.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -20,6 +20,11 @@ def test_small_blocks_and_odd_texts(spark):
     assert got == [(i, len(e.encode_ordinary(t or "")), True) for i, (_, t) in enumerate(rows)]
 
 
+def test_null_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "a b"), (-1, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_tokens for r in tokens.query(spark, str(tmp_path)).collect()} == {None: 2, -1: 1}
+
+
 def test_flat_files(spark, tmp_path):
     rng = np.random.default_rng(1)
     want = {}
