@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 2_000_000
+SLICE = 500_000
 MAX_DOCS = 4096  # documents in a slice, so that an index takes 12 bits
 ROWS = 1000  # rows of an Arrow batch, at most
 CHUNK = 1 << 16  # counters in one row of a dense counter
@@ -153,9 +153,15 @@ def forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def keep(df: DataFrame, codec: str = "zstd", scratch: list[str] | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    It stays until the session ends, or until the caller forgets the folder,
+    which is added to `scratch`.
+    """
     path = shared_dir(df.sparkSession)
+    if scratch is not None:
+        scratch.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -226,7 +232,7 @@ def dense(df: DataFrame, width: int, kind=np.int64) -> np.ndarray:
 # Connected components
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, scratch: list[str] | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b). Nodes without a link are absent.
 
     Large-star and small-star steps alternate until nothing changes; all
@@ -234,19 +240,22 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     shared folder. The number of steps grows with the logarithm of the size.
     Self-links and null ends are ignored.
     """
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    spark, before, own = links.sparkSession, None, []
+    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch=own)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = keep(small)
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("u")).first()
-        if tuple(now) == before and now[0] == now[2]:
+        edges = keep(small, scratch=own)
+        forget(spark, own.pop(0))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == before:
             break
         before = tuple(now)
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
+    if scratch is not None:
+        scratch += own
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

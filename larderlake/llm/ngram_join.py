@@ -1,9 +1,11 @@
 """N-gram Jaccard join: rare-first prefixes with length, positional and suffix filters, each pair verified once.
 
 A document's set is its distinct shingles. Equal sets are one class, which
-goes on once. The tokens of a class are ordered rare-first by a frequency
-sketch of the whole corpus (any order gives the same links, a rare-first one
-gives few candidates); classes that link share a token of their prefixes.
+goes on once. The tokens of a class are ordered rare-first: by the mean log document
+frequency of a shingle's words, from a sketch of all words of the corpus (any
+order gives the same links, a rare-first one gives few candidates). Words are
+few beside shingles, so the sketch tells common from rare at any size of the
+corpus. Classes that link share a token of their prefixes.
 Members of a prefix token's list are compared by
 
 * length: the smaller set has at least t times the larger's tokens,
@@ -12,10 +14,12 @@ Members of a prefix token's list are compared by
   bounds the Hamming distance from below (the suffix filter's partition, with
   fixed pivots; it needs BITS bits for a set instead of the set).
 
-For components no list is expanded into all pairs: first each member is
-verified against the member of its list with the most partners, then against
-its nearest, and only what still lies in different components, and wasn't
-tested, is verified pair by pair.
+Pairs that pass are compared by as many cells as suit their size, and whole
+sets are fetched only for those that pass this too. For components no long
+list (over SMALL) is expanded into all pairs: first each member is verified
+against the member of its list with the most partners, then against its
+nearest, and only what still lies in different components, and wasn't tested,
+is verified pair by pair.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, batches, components, counted, dense, distinct, keep, lower_batches, mix, ngrams, slices, table
+from .common import U, batches, components, counted, dense, distinct, forget, keep, lower_batches, mix, ngrams, slices, table
 
 SKETCH = 22  # bits: 4M counters, 4 MB when sent to the tasks, whatever the corpus
 BITS = 512
+SMALL = 32  # members of a list whose surviving pairs are all taken at once
 LIST = 1024  # members of a block of a list
 GROUP = 100_000  # members compared at once, one list block (or pair of blocks) at least
 
@@ -40,13 +45,13 @@ def shingles(column: pa.Array, n: int):
         yield s, *distinct(*ngrams(h, begin, n))
 
 
-def sketch(docs: DataFrame, n: int, bits: int = SKETCH) -> np.ndarray:
-    """Rarity class (log2 of the number of documents) of each counter, from all documents."""
+def sketch(docs: DataFrame, bits: int = SKETCH) -> np.ndarray:
+    """Log2 of the number of documents of the words of each counter, from all documents."""
 
     def count(it):
         c = np.zeros(1 << bits, np.int32)
         for b in it:
-            for _, token, _ in shingles(b["text"], n):
+            for _, token, _ in shingles(b["text"], 1):
                 x, k = np.unique((token >> U(52 - bits)).astype(np.int64), return_counts=True)
                 c[x] += k.astype(np.int32)
         return c
@@ -56,20 +61,39 @@ def sketch(docs: DataFrame, n: int, bits: int = SKETCH) -> np.ndarray:
     return np.where(c > 0, np.log2(np.maximum(c, 1)).astype(np.uint8) + 1, 0).astype(np.uint8)
 
 
+def ordered(column: pa.Array, n: int, rarity: np.ndarray):
+    """Like shingles, but tokens carry their rarity in the top 6 of 52 bits, so they are in rare-first order."""
+    shift = U(52 - int(np.log2(len(rarity))))
+    for s in slices(column):
+        h, begin = s.hashes()
+        one, _ = ngrams(h, begin, 1)
+        log = np.append(0, np.cumsum(rarity[((one >> U(12)) >> shift).astype(np.int64)], dtype=np.int64))
+        g, doc = ngrams(h, begin, n)
+        count = np.diff(begin)
+        many = np.bincount(doc, minlength=s.n)
+        first = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + begin[doc]
+        size = np.minimum(n, count[doc])
+        kind = np.minimum((log[first + size] - log[first]) * 2 // np.maximum(size, 1), 63).astype(U)
+        yield s, *distinct((kind << U(58)) | (g >> U(6)), doc)
+
+
 def prefix_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
 
 
+def cell_count(n: np.ndarray) -> np.ndarray:
+    """Cells for a set of n tokens: the power of two at or above 2n, 64 at least."""
+    return np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+
+
 def sets(docs: DataFrame, n: int, num: int, den: int, rarity: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, bits, prefix): size, set hash of 128 bits, cells, and the prefix rare-first."""
+    """(doc_id, n, s1, s2, bits, cells, prefix): size, set hash of 128 bits, parities of BITS cells and of about 2n, and the prefix rare-first."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    shift = int(np.log2(len(rarity)))
 
     def run(it):
-        r = shared.value
         for b in it:
             ids = b["doc_id"]
-            for s, token, doc in shingles(b["text"], n):
+            for s, token, doc in ordered(b["text"], n, shared.value):
                 size = np.bincount(doc, minlength=s.n)
                 begin = np.append(0, np.cumsum(size))
                 m = mix(token)
@@ -78,13 +102,15 @@ def sets(docs: DataFrame, n: int, num: int, den: int, rarity: np.ndarray) -> Dat
                 cell = (m >> U(64 - int(np.log2(BITS)))).astype(np.int64)
                 odd = np.bincount(doc * BITS + cell, minlength=s.n * BITS).reshape(s.n, BITS) & 1
                 bits = np.packbits(odd.astype(np.uint8), axis=1)
-                kind = r[(token >> U(52 - shift)).astype(np.int64)].astype(U)
-                order = np.sort((doc.astype(U) << U(52)) | (kind << U(46)) | (token >> U(6))) & U((1 << 52) - 1)
+                wide = cell_count(size)
+                low = np.cumsum(wide) - wide
+                own = np.bincount(np.repeat(low, size) + (m & U(0xFFFFFFFF)).astype(np.int64) % np.repeat(wide, size), minlength=int(wide.sum())) & 1
+                blob = np.packbits(own.astype(np.uint8)).tobytes()
                 k = prefix_size(size, num, den)
                 at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[:-1], k)
-                yield {"doc_id": ids[s.at.start : s.at.stop], "n": size, "s1": s1, "s2": s2, "bits": [x.tobytes() for x in bits], "prefix": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), pa.array(order[at].view(np.int64)))}
+                yield {"doc_id": ids[s.at.start : s.at.stop], "n": size, "s1": s1, "s2": s2, "bits": [x.tobytes() for x in bits], "cells": [blob[i // 8 : (i + j) // 8] for i, j in zip(low.tolist(), wide.tolist())], "prefix": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), pa.array(token[at].view(np.int64)))}
 
-    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, s1 long, s2 long, bits binary, prefix array<bigint>")
+    return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, s1 long, s2 long, bits binary, cells binary, prefix array<bigint>")
 
 
 def tokens_of(docs: DataFrame, n: int) -> DataFrame:
@@ -101,89 +127,89 @@ def tokens_of(docs: DataFrame, n: int) -> DataFrame:
 
 
 def lists(classes: DataFrame, size: int) -> DataFrame:
-    """(token, blk, id, n, pos): the members of every prefix token that two classes or more share, in blocks of `size` by n."""
+    """(token, blk, several, id, n, pos): the members of every prefix token that two classes or more share, in blocks of `size` by n; several: whether the list has more than one block."""
     rows = classes.select("id", F.col("n"), F.posexplode("prefix").alias("pos", "token"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "id")
 
     def run(it):
-        held, index = None, 0  # the last row waits for its neighbour; its place in its list
-
-        def out(token, own, n, pos, follows, index):
-            """Rows but the last, which has a neighbour to come."""
-            same = token[1:] == token[:-1]
-            left = np.append(follows, same)[:-1]
-            place = np.arange(len(token))
-            begins = np.maximum.accumulate(np.where(np.append(follows, same), 0, place))
-            at = place - begins + np.where(begins == 0, index if follows else 0, 0)
-            go = left | same
-            return {"token": token[:-1][go], "blk": (at[:-1][go] // size).astype(np.int32), "id": own[:-1][go], "n": n[:-1][go], "pos": pos[:-1][go]}, bool(same[-1]) if len(same) else follows, int(at[-1])
-
-        follows = False
+        held, before = None, 0  # rows of the last token that wait for its end, and how many of it are out
+
+        def out(cols, before, ended):
+            """Whole lists, and of the last token what can be told; then what waits, and how many of it are out."""
+            token = cols[0]
+            begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            length = np.diff(np.append(begins, len(token)))
+            start = np.zeros(len(begins), np.int64)
+            start[0] = before
+            total = start + length
+            go = total > 1
+            if not ended and total[-1] <= size:
+                go[-1] = False
+            row = np.repeat(go, length)
+            at = np.arange(len(token)) - np.repeat(begins - start, length)
+            waits = [c[begins[-1] :] for c in cols] if not ended and not go[-1] else [c[:0] for c in cols]
+            rows = {"token": token[row], "blk": (at[row] // size).astype(np.int32), "several": np.repeat(total > size, length)[row], "id": cols[1][row], "n": cols[2][row], "pos": cols[3][row]}
+            return rows, waits, (0 if len(waits[0]) else int(total[-1])), token[-1]
+
+        last = None
         for b in it:
             cols = [b[x].to_numpy(zero_copy_only=False) for x in ("token", "id", "n", "pos")]
             if not len(cols[0]):
                 continue
-            if held is not None:
+            if held is not None and len(held[0]):
                 cols = [np.append(h, c) for h, c in zip(held, cols)]
-            rows, follows, index = out(*cols, follows, index)
-            held = [c[-1:] for c in cols]
+            rows, held, before, last = out(cols, before if last is not None and cols[0][0] == last else 0, False)
             yield rows
-        if held is not None and follows:
-            yield {"token": held[0], "blk": np.array([index // size], np.int32), "id": held[1], "n": held[2], "pos": held[3]}
+        if held is not None and len(held[0]):
+            yield out(held, before, True)[0]
 
-    return batches(rows.select("token", "id", "n", "pos"), run, "token long, blk int, id long, n long, pos int")
+    return batches(rows.select("token", "id", "n", "pos"), run, "token long, blk int, several boolean, id long, n long, pos int")
 
 
 def tasks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Members with `sub` and `side`: one task a list of one block, else one for each two blocks whose lengths can link."""
-    several = members.where("blk > 0").select("token").distinct()
-    one = members.join(several, "token", "left_anti").select("*", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("side"))
-    rest = members.join(several, "token", "left_semi")
+    one = members.where("not several").select("*", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("side"))
+    rest = members.where("several")
     blocks = rest.groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     a, b = blocks.select("token", F.col("blk").alias("a"), F.col("high")), blocks.select("token", F.col("blk").alias("b"), F.col("low"))
     two = a.join(b, "token").where(f"a <= b and high * {den} >= low * {num}").select("token", "a", "b", (F.col("a").cast("long") * F.lit(1 << 31) + F.col("b") + 1).alias("sub"))
     left = rest.join(two, (rest.token == two.token) & (rest.blk == two.a)).select(rest["*"], two["sub"], F.lit(0).alias("side"))
     right = rest.join(two.where("a < b"), (rest.token == two.token) & (rest.blk == F.col("b"))).select(rest["*"], "sub", F.lit(1).alias("side"))
-    return one.unionByName(left).unionByName(right).drop("blk")
+    return one.unionByName(left).unionByName(right).drop("blk", "several")
 
 
-def partners(rows: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
-    """Compares the members of each task that differ in `label`.
+def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
+    """Compares the members of each task that differ in `label`: (token, sub, side, id, n, pos, bits, hub, near).
 
-    all_pairs: (a, b) of every pair that the filters leave. Else the members
-    with such a partner, with the partner that has the most (`hub`) and the
-    one whose cells differ least (`near`).
+    A row without bits is a pair (id, hub) that the filters leave: of every
+    list in step `all`, of lists of at most SMALL members in step `first`. A
+    row with bits is a member of a longer list that has a partner left, with
+    the partner that has the most (`hub`) and the one that differs least
+    (`near`).
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["token", "sub", "side", "id", "n", "pos", "bits", "label"]
     rows = rows.select(*names).repartition(parts, "token", "sub").sortWithinPartitions("token", "sub", "n", "id")
 
-    def each(part, visit):
+    def each(part, end, visit):
         """Calls visit(i, j, differing cells) for the surviving pairs, a distance in the list at a time."""
         token, sub, side, own, n, pos, bits, label = part
-        new = np.append(True, (token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))
-        at = np.flatnonzero(new)
-        end = np.repeat(np.append(at[1:], len(token)), np.diff(np.append(at, len(token))))
-        cross = sub != 0
-        same = (sub - 1) >> 31 == (sub - 1) & ((1 << 31) - 1)
-        cross &= ~same
+        cross = (sub != 0) & ((sub - 1) >> 31 != (sub - 1) & ((1 << 31) - 1))  # two blocks: pairs across alone
         i, d = np.arange(len(token)), 0
         while True:
             d += 1
             i = i[end[i] > i + d]
             if not len(i):
                 return
-            j = i + d
-            i = i[n[i] * den >= n[j] * num]  # lists ascend in n: a length that fails stays out
+            i = i[n[i] * den >= n[i + d] * num]  # lists ascend in n: a length that fails stays out
             j = i + d
             ok = (label[i] != label[j]) & (own[i] != own[j]) & (~cross[i] | (side[i] != side[j]))
             a, b = i[ok], j[ok]
             if not len(a):
                 continue
             need = (num * (n[a] + n[b]) + num + den - 1) // (num + den)
-            most = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
-            ok = most >= need
+            ok = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need
             a, b, need = a[ok], b[ok], need[ok]
             differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             ok = differ <= n[a] + n[b] - 2 * need
@@ -192,40 +218,48 @@ def partners(rows: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
 
     def work(held):
         part = [np.concatenate(x) for x in zip(*held)]
-        token, sub, side, own, n, pos, bits, label = part
-        if all_pairs:
-            found = []
-            each(part, lambda i, j, _: found.append((own[i], own[j])))
-            if not found:
-                return None
-            a, b = (np.concatenate(x) for x in zip(*found))
-            x = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return {"a": x[:, 0], "b": x[:, 1]}
-        degree = np.zeros(len(token), np.int64)
+        token, sub, side, own, n, pos, bits, _ = part
+        new = np.append(True, (token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))
+        at = np.flatnonzero(new)
+        length = np.diff(np.append(at, len(token)))
+        end = np.repeat(at + length, length)
+        whole = np.full(len(token), step == "all") | ((np.repeat(length, length) <= SMALL) & (step == "first"))
+        found, degree = [], np.zeros(len(token), np.int64)
 
         def count(i, j, _):
-            degree[i] += 1
-            degree[j] += 1
-
-        each(part, count)
+            w = whole[i]
+            if w.any():
+                found.append((own[i[w]], own[j[w]]))
+            degree[i[~w]] += 1
+            degree[j[~w]] += 1
+
+        each(part, end, count)
+        out = []
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            x = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            z = np.zeros(len(x), np.int64)
+            out.append({"token": z, "sub": z, "side": z.astype(np.int32), "id": x[:, 0], "n": z, "pos": z.astype(np.int32), "bits": [None] * len(x), "hub": x[:, 1], "near": z})
         if not degree.any():
-            return None
+            return out
         # the partner with the most partners (the earlier of equal ones), and the nearest
         rank = degree * len(token) - np.arange(len(token))
         best, hub = np.full(len(token), np.iinfo(np.int64).min), np.full(len(token), -1)
         least, near = np.full(len(token), 1 << 30), np.full(len(token), -1)
 
         def choose(i, j, differ):
-            for x, y in ((i, j), (j, i)):  # each has one partner at this distance
+            w = ~whole[i]
+            for x, y, e in ((i[w], j[w], differ[w]), (j[w], i[w], differ[w])):  # each has one partner at this distance
                 up = rank[y] > best[x]
                 best[x[up]], hub[x[up]] = rank[y[up]], y[up]
-                up = differ < least[x]
-                least[x[up]], near[x[up]] = differ[up], y[up]
+                up = e < least[x]
+                least[x[up]], near[x[up]] = e[up], y[up]
 
-        each(part, choose)
+        each(part, end, choose)
         i = np.flatnonzero(degree)
         data = bits.view(np.uint8).reshape(len(bits), -1)[i]
-        return {"token": token[i], "sub": sub[i], "side": side[i].astype(np.int32), "id": own[i], "n": n[i], "pos": pos[i].astype(np.int32), "bits": [x.tobytes() for x in data], "hub": own[hub[i]], "near": own[near[i]]}
+        out.append({"token": token[i], "sub": sub[i], "side": side[i].astype(np.int32), "id": own[i], "n": n[i], "pos": pos[i].astype(np.int32), "bits": [x.tobytes() for x in data], "hub": own[hub[i]], "near": own[near[i]]})
+        return out
 
     def run(it):
         held, count, last = [], 0, None
@@ -241,18 +275,39 @@ def partners(rows: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
                 held.append(tuple(x[:cut] for x in part))
                 count += cut
                 if cut < len(token):
-                    if (out := work(held)) is not None:
-                        yield out
+                    yield from work(held)
                     part = tuple(x[cut:] for x in part)
                     held, count = [part], len(part[0])
             else:
                 held.append(part)
                 count += len(token)
             last = (token[-1], sub[-1])
-        if held and (out := work(held)) is not None:
-            yield out
+        if held:
+            yield from work(held)
+
+    return batches(rows, run, "token long, sub long, side int, id long, n long, pos int, bits binary, hub long, near long")
+
+
+def plausible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their cells don't rule out. The larger set's cells are folded to the smaller's."""
+    one = known.select(F.col("doc_id").alias("id"), F.struct("n", "cells").alias("x")).hint("merge")
+    a, b = one.select(F.col("id").alias("a"), F.col("x").alias("_a")), one.select(F.col("id").alias("b"), F.col("x").alias("_b"))
 
-    return batches(rows, run, "a long, b long" if all_pairs else "token long, sub long, side int, id long, n long, pos int, bits binary, hub long, near long")
+    def run(it):
+        for batch in it:
+            go = []
+            for x, y in zip(batch["_a"].to_pylist(), batch["_b"].to_pylist()):
+                u, v = (np.frombuffer(z["cells"], np.uint8) for z in (x, y))
+                while len(u) > len(v):
+                    u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+                while len(v) > len(u):
+                    v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+                n = x["n"] + y["n"]
+                go.append(int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) <= n - 2 * -(-num * n // (num + den)))
+            keepers = pa.array(go, pa.bool_())
+            yield {"a": batch["a"].filter(keepers), "b": batch["b"].filter(keepers)}
+
+    return batches(pairs.join(b, "b").join(a, "a"), run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,6 +331,17 @@ def verify(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     return batches(pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a"), run, "a long, b long").distinct()
 
 
+def joined(labels: DataFrame, links: DataFrame, scratch: list[str]) -> DataFrame:
+    """(node, component) after more links: they join components, so only the components they touch are searched."""
+    of = lambda x: F.coalesce(F.col("component"), F.col(x)).alias(x)
+    up = links.join(labels.withColumnRenamed("node", "a"), "a", "left").select(of("a"), "b")
+    up = up.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", of("b"))
+    more = components(up, scratch=scratch).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(more, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = more.join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("to").alias("component"))
+    return old.unionByName(new)
+
+
 def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text).
 
@@ -290,40 +356,62 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     Sizes and overlaps are counted on 52-bit hashes of shingles.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = keep(sets(slim, n, num, den, sketch(slim, n)))
+    scratch: list[str] = []
+    save = lambda df: keep(df, scratch=scratch)
+    known = save(sets(slim, n, num, den, sketch(slim)))
     some = known.where("n > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "bits", "prefix"))
-    classes = keep(some.groupBy("n", "s1", "s2").agg(first.alias("x")).select("n", "s1", "s2", F.col("x.doc_id").alias("id"), "x.bits", "x.prefix"))
+    classes = save(some.groupBy("n", "s1", "s2").agg(first.alias("x")).select("n", "s1", "s2", F.col("x.doc_id").alias("id"), "x.bits", "x.prefix"))
     members = lists(classes, LIST).join(classes.select("id", "n", "bits").hint("merge"), ["id", "n"])
-    rows = tasks(keep(members), num, den).withColumn("label", F.col("id"))
-    held = keep(partners(rows, num, den, False))
-    ids = held.select("id").distinct()
-    whole = keep(tokens_of(slim.join(ids.hint("merge"), slim.doc_id == ids.id, "left_semi"), n))
-    tested = links = labels = None
-    for step in ("hub", "near", "all"):
-        rest = held
-        if labels is not None:
-            rest = held.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        if step == "hub":
-            pairs = held.select(F.col("id").alias("x"), F.col("hub").alias("y"))
-        elif step == "near":
-            pairs = partners(rest, num, den, False).select(F.col("id").alias("x"), F.col("near").alias("y"))
-        else:
-            pairs = partners(rest, num, den, True).toDF("x", "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
-        new = keep(verify(pairs, whole, num, den))
-        links = new if links is None else links.union(new)
-        labels = components(links)
+    rows = tasks(save(members), num, den).withColumn("label", F.col("id"))
+    found = save(partners(rows, num, den, "first"))
+    held = found.where("bits is not null")  # of the long lists
+
+    def ends(df: DataFrame, other: str) -> DataFrame:
+        return df.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return held.drop("hub", "near").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+
+    def fetched(pairs: DataFrame, merge: bool) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return save(tokens_of(slim.join(ids.hint("merge") if merge else ids, slim.doc_id == ids.id, "left_semi"), n))
+
+    tested = save(ends(found, "hub"))
+    pairs = save(plausible(tested, some, num, den))
+    labels = save(components(pairs, scratch=scratch))
+    many = bool(held.take(1))
+    if many:  # of the members of long lists alone
+        own = held.select(F.col("id").alias("doc_id")).distinct()
+        known_long = save(some.select("doc_id", "n", "cells").join(own.hint("merge"), "doc_id", "left_semi"))
+    for step in ("near", "all") if many else ():
+        new = partners(labelled(labels), num, den, step)
+        new = save(ends(new, "near" if step == "near" else "hub").join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(new)
+        new = save(plausible(new, known_long, num, den))
+        pairs = pairs.union(new)
+        if new.take(1):
+            labels = save(joined(labels, new, scratch))
+    # so far pairs that look like links joined components; now the links alone do
+    links = save(verify(pairs, fetched(pairs, True), num, den))
+    labels = save(components(links, scratch=scratch))
+    if many and pairs.count() > links.count():
+        # what a pair that is no link kept from being compared; few, so Spark may send the ids to the tasks
+        new = ends(partners(labelled(labels), num, den, "all"), "hub").join(tested, ["a", "b"], "left_anti")
+        new = save(plausible(new, known_long, num, den))
+        if new.take(1):
+            labels = save(joined(labels, verify(new, fetched(new, False), num, den), scratch))
     named = some.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"])
     # a doc_id with several texts joins their classes
     double = named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
     if double.take(1):
-        labels = components(links.union(named.join(double, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))))
+        labels = save(joined(labels, named.join(double, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("id").alias("b")), scratch))
     named = named.join(labels, named.id == labels.node, "left").select("doc_id", F.coalesce("component", "id").alias("component_id"), named.n.alias("n"))
     alone = known.where("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("component_id"), "n")
-    return named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = keep(named.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    for path in scratch:
+        forget(docs.sparkSession, path)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
