@@ -285,14 +285,21 @@ class Typed:
             return self.null(a) & self.null(b)
         if fa != fb or fa == "absent":
             return F.lit(False)
+        if self.plain(a, b):
+            return self.column(a) == self.column(b)
         return F.coalesce(self.column(a) == self.column(b), self.null(a) & self.null(b))
 
+    def plain(self, *parts) -> bool:
+        """Whether a comparison of these is null just where an attribute is absent, so that it can be pushed into a scan as it is."""
+        return not self.strict and "__nulls" not in self.types and len({self.family(p) for p in parts}) == 1 and self.family(parts[0]) not in ("absent", "null", "other")
+
     def less(self, a, b, op: str) -> Column:
         fa, fb = self.family(a), self.family(b)
         if fa != fb or fa not in ("number", "text", "bytes", "time"):
             return F.raise_error(F.lit(f"no order between {a} and {b}")).cast("boolean") if self.strict else F.lit(False)
         x, y = self.column(a), self.column(b)
-        return F.coalesce({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], F.lit(False))
+        out = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+        return out if self.plain(a, b) else F.coalesce(out, F.lit(False))
 
     def begins(self, a, b) -> Column:
         if self.family(a) != self.family(b) or self.family(a) not in ("text", "bytes"):
@@ -405,12 +412,14 @@ class Tagged:
         return now
 
 
-def compile_condition(tree, to: Typed | Tagged) -> Column:
-    """The tree as a boolean column, never null."""
+def compile_condition(tree, to: Typed | Tagged, filter_only: bool = False) -> Column:
+    """The tree as a boolean column, never null. filter_only: null where unknown, for use in where(): scans take more of it."""
 
     def known(parts, value: Column) -> Column:
         """value where all attributes are there; else unknown, or an error in strict mode."""
         out = value
+        if isinstance(to, Typed) and to.plain(*parts):
+            return out
         for p in parts:
             if isinstance(p, Path):
                 gone = F.raise_error(F.lit(f"no attribute {p.name}")).cast("boolean") if to.strict else F.lit(None).cast("boolean")
@@ -434,6 +443,8 @@ def compile_condition(tree, to: Typed | Tagged) -> Column:
         if isinstance(x, Begins):
             return known((x.path, x.prefix), to.begins(x.path, x.prefix))
         if isinstance(x, Within):
+            if isinstance(to, Typed) and to.plain(x.path, *x.options) and all(isinstance(o, Value) for o in x.options):
+                return to.column(x.path).isin([V.plain_number(o.value.text) if isinstance(o.value, V.Number) else o.value for o in x.options])
             out = F.lit(False)
             for o in x.options:
                 out = out | to.equal(x.path, o)
@@ -446,11 +457,11 @@ def compile_condition(tree, to: Typed | Tagged) -> Column:
             return known((x.left, x.right), ~to.equal(x.left, x.right))
         return known((x.left, x.right), to.less(x.left, x.right, x.op))
 
-    return F.coalesce(walk(tree), F.lit(False))
+    return walk(tree) if filter_only else F.coalesce(walk(tree), F.lit(False))
 
 
-def condition(text: str, df: DataFrame, values: dict | None = None, names: dict | None = None, strict: bool = False, exact: bool = False) -> Column:
+def condition(text: str, df: DataFrame, values: dict | None = None, names: dict | None = None, strict: bool = False, exact: bool = False, filter_only: bool = False) -> Column:
     """Parses and compiles a condition for the rows of df: its columns, or its attrs map if it has one."""
     tree = parse_condition(text, values, names)
     tagged = "attrs" in df.columns and isinstance(df.schema["attrs"].dataType, T.MapType)
-    return compile_condition(tree, Tagged("attrs", strict, exact) if tagged else Typed(df, strict))
+    return compile_condition(tree, Tagged("attrs", strict, exact) if tagged else Typed(df, strict), filter_only)

@@ -497,7 +497,7 @@ def run_select(s: Select, table: ItemTable | DataFrame, now: float | None = None
     where = None
     if s.where is not None:
         tree = E.Logic("AND", tuple(_as_key(p, typed_sk) for p in _parts(s.where))) if len(_parts(s.where)) > 1 else _as_key(s.where, typed_sk)
-        where = compile_where(tree, df)
+        where = compile_where(tree, df, True)
     bounded = s.limit is not None or s.offset
     if limit_before_filter and kind == "scan":
         df = limited(df.orderBy(*ordering)) if bounded else df
@@ -551,8 +551,8 @@ class _Keyed(E.Tagged):
         return self.plain.begins(a, b) if self._key(a, b) else super().begins(a, b)
 
 
-def compile_where(tree, df: DataFrame) -> Column:
-    return E.compile_condition(tree, _Keyed(df) if _tagged(df) else E.Typed(df))
+def compile_where(tree, df: DataFrame, filter_only: bool = False) -> Column:
+    return E.compile_condition(tree, _Keyed(df) if _tagged(df) else E.Typed(df), filter_only)
 
 
 def project(df: DataFrame, columns: tuple | None, keys_too: bool = False) -> DataFrame:

@@ -87,3 +87,13 @@ def test_pushdown(spark, small):
 
     plan = read.query(catalog.orders(spark, small), read.Query("85")).df._jdf.queryExecution().toString()
     assert "EqualTo(o_custkey,85)" in plan
+
+
+def test_predicates_reach_the_scan(spark, small):
+    from larderlake.sources import catalog
+
+    plan = P.select("SELECT p_name FROM t WHERE p_size > 40 AND p_brand IN ('Brand#1', 'Brand#2') AND p_retailprice BETWEEN 900 AND 950", {"t": catalog.parts(spark, small)}).df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    for f in ("IsNotNull(p_retailprice)", "GreaterThan(p_size,40)", "In(p_brand, [Brand#1"):  # Spark cuts the list off here
+        assert f in pushed, pushed[:400]
+    assert "ReadSchema: struct<p_name:string,p_brand:string,p_size:int,p_retailprice:double>" in plan
