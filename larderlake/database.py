@@ -3,7 +3,7 @@
 Layout of a folder:
 
     commits/00000000000000000007.json   what the table is after commit 7
-    data/<id>/stripe=<n>/*.parquet      rows of one commit (or of a compaction)
+    data/part=<id>/stripe=<n>/*.parquet      rows of one commit (or of a compaction)
 
 A commit first writes its rows, then creates the next commit file, which fails
 if it exists: the writer that comes second gets ConflictingCommit and nothing
@@ -139,11 +139,11 @@ class Database:
         if not data:
             return self.spark.createDataFrame([], ROWS).withColumn("stripe", F.lit(0))
         stored = T.StructType([*ROWS.fields, T.StructField("stripe", T.IntegerType())])
-        one = [self.spark.read.schema(stored).option("basePath", f"{self.path}/data/{d}").parquet(f"{self.path}/data/{d}") for d in data]
-        out = one[0]
-        for x in one[1:]:
-            out = out.unionByName(x)
-        return out
+        # one scan, whatever the number of commits
+        return self.spark.read.schema(stored.add("part", "string")).option("basePath", f"{self.path}/data").parquet(*map(self._folder, data)).drop("part")
+
+    def _folder(self, name: str) -> str:
+        return f"{self.path}/data/part={name}"
 
     def _live(self, log: DataFrame, now: float | None = None) -> DataFrame:
         return L.live(log, ttl_attribute=self.spec.ttl, now=self.now() / 1000 if now is None else now)
@@ -165,7 +165,7 @@ class Database:
         """Appends rows (with seq above head's) in one commit."""
         name = uuid.uuid4().hex
         out = rows.select(*[F.col(f.name).cast(f.dataType) for f in ROWS.fields]).withColumn("stripe", stripe())
-        out.write.partitionBy("stripe").option("compression", "zstd").parquet(f"{self.path}/data/{name}")
+        out.write.partitionBy("stripe").option("compression", "zstd").parquet(self._folder(name))
         self._publish(head | {"commit": head["commit"] + 1, "seq": head["seq"] + count, "data": [*head["data"], name], "spec": self.spec.to_json()})
         return head["seq"] + count
 
@@ -288,8 +288,8 @@ class Database:
         if validate:
             self._check_items(out)
         name = uuid.uuid4().hex
-        out.select(*[F.col(f.name).cast(f.dataType) for f in ROWS.fields]).withColumn("stripe", stripe()).repartition("stripe").write.partitionBy("stripe").option("compression", "zstd").parquet(f"{self.path}/data/{name}")
-        top = self.spark.read.schema(ROWS).parquet(f"{self.path}/data/{name}").agg(F.max("seq"), F.count("*")).first()
+        out.select(*[F.col(f.name).cast(f.dataType) for f in ROWS.fields]).withColumn("stripe", stripe()).repartition("stripe").write.partitionBy("stripe").option("compression", "zstd").parquet(self._folder(name))
+        top = self.spark.read.schema(ROWS).parquet(self._folder(name)).agg(F.max("seq"), F.count("*")).first()
         if top[1]:
             self._publish(head | {"commit": head["commit"] + 1, "seq": top[0], "data": [*head["data"], name], "spec": self.spec.to_json()})
         return top[1]
@@ -369,7 +369,7 @@ class Database:
         counts = L.compact_stats(log).first().asDict()
         name = uuid.uuid4().hex
         kept = L.compact(log).withColumn("stripe", stripe())
-        kept.repartition("stripe").sortWithinPartitions("stripe", "pk", "sk").write.partitionBy("stripe").option("compression", "zstd").parquet(f"{self.path}/data/{name}")
+        kept.repartition("stripe").sortWithinPartitions("stripe", "pk", "sk").write.partitionBy("stripe").option("compression", "zstd").parquet(self._folder(name))
         self._publish(head | {"commit": head["commit"] + 1, "data": [name], "spec": self.spec.to_json()})
         return counts
 
@@ -380,7 +380,7 @@ class Database:
         fs, p = self._fs(f"{self.path}/data")
         gone = 0
         for x in fs.listStatus(p) if fs.exists(p) else []:
-            if x.getPath().getName() not in used:
+            if x.getPath().getName().removeprefix("part=") not in used:
                 fs.delete(x.getPath(), True)
                 gone += 1
         for n in numbers[: -max(1, keep)]:
@@ -403,7 +403,7 @@ class Database:
     def health(self) -> str:
         """Healthy if the newest commit's data can be listed, else Unhealthy."""
         fs, _ = self._fs(self.path)
-        return "Healthy" if all(fs.exists(self._fs(f"{self.path}/data/{d}")[1]) for d in self.head()["data"]) else "Unhealthy"
+        return "Healthy" if all(fs.exists(self._fs(self._folder(d))[1]) for d in self.head()["data"]) else "Unhealthy"
 
     def snapshot(self, path: str) -> None:
         """Copies the live items to another folder as a table of its own."""
