@@ -209,7 +209,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: writes every page to archives in the shared folder, then reads them back with the salvage reader."""
     read = read_archives(keep(write_archives(table(spark, sf_dir, "pages")), "none")).where("kind = 'record'")
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return read.select(page("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", page("refers_to")).alias("refers_to"))
 
 

@@ -85,6 +85,12 @@ def test_rows(spark):
     assert few == 0 and warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_null_ids(spark, tmp_path):
+    spark.createDataFrame([(None, None, "x"), (None, "u", None), (4, "v", "x")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in warc.query(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, "response", None), (0, 1, "revisit", 4), (4, 1, "response", None)]
+
+
 def test_table_of_damaged_archives(spark):
     _, parts = archive(5)
     df = spark.createDataFrame([(bytearray(parts[0] + b"junk" + parts[1]),), (None,), (bytearray(b""),), (bytearray(b"nothing"),)], "archive binary")
