@@ -129,6 +129,28 @@ def distinct(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key & U((1 << 52) - 1), (key >> U(52)).astype(np.int64)
 
 
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """df with a string column compressed, for shuffles of whole texts: about two thirds of what Spark's own codec leaves."""
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    lower_batches(df.sparkSession)
+    out = StructType([StructField(f.name, BinaryType()) if f.name == column else f for f in df.schema.fields])
+
+    def run(it):
+        for b in it:
+            own = pa.array([None if x is None else zlib.compress(x.encode(), 1) for x in b[column].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([own if f.name == column else b.column(i) for i, f in enumerate(b.schema)], names=b.schema.names)
+
+    return df.mapInArrow(run, out)
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The strings of a column that is packed, or not."""
+    if not pa.types.is_binary(column.type):
+        return column
+    return pa.array([None if x is None else zlib.decompress(x).decode() for x in column.to_pylist()], pa.string())
+
+
 # Shared tables
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, counted, dense, keep, lower_batches, slices, table
+from .common import batches, counted, dense, keep, lower_batches, packed, slices, table, unpacked
 from .langid import code_points
 
 A = 64
@@ -97,12 +97,12 @@ def kneser_ney(counts: np.ndarray, a: int = A, order: int = ORDER) -> np.ndarray
 
 
 def fit(trusted: DataFrame, text: str = "text") -> np.ndarray:
-    """The model from the whole text of every row; null and empty texts count for nothing."""
+    """The model from the whole text of every row, packed or not; null and empty texts count for nothing."""
 
     def count(it):
         c = np.zeros(A**ORDER, np.int32)
         for b in it:
-            for s in slices(b[text], None):
+            for s in slices(unpacked(b[text]), None):
                 x, n = np.unique(codes(s)[0], return_counts=True)
                 c[x] += n.astype(np.int32)
         return c
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # a shuffle at every size: the labels grow with the documents
-    model = fit(base.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left_semi"))
+    model = fit(packed(base.select("doc_id", "text")).join(good.hint("merge"), "doc_id", "left_semi"))
     scored = keep(perplexities(base, model))
     scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     cut = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(100_000)) + F.lit(slack)
