@@ -10,6 +10,11 @@ those that hold the term, and N all documents,
 A term discloses an entity if PMI / IC reaches `disclosure` and n(e, t)
 reaches `support`. Such a term is generalised to its first letters where
 words of those letters no longer reach the threshold, else removed.
+
+That is what `detect` reports, as its SQL does. `sanitise` counts n(e) and
+n(e, t) in documents too, as n(t) and N are, and judges rare entities: below
+`support` a term must stand in every document of the entity, and chance must
+put no more than CHANCE documents with both into the corpus.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ KINDS = tuple(PATTERNS)
 TERM = r"\p{L}{3,}+"
 REACH = 48  # characters of context on each side
 DISCLOSURE, SUPPORT, STEM = 0.9, 3, 2
+CHANCE = 0.05  # documents with both that independence would give, n(e) * n(t) / N, at most, for terms below the support
 MARKS = {x: f"[{x.upper()}]" for x in KINDS} | {"term": "[TERM]"}
 
 
@@ -72,16 +78,16 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, key, kind, entity, context, term, start, end): every term within REACH characters of an entity. Cut words don't count."""
-    one = found.where("size(spans) > 0").select("doc_id", "key", "text", F.explode("spans").alias("s"))
+    """(doc_id, key, row, kind, entity, context, term, start, end): every term within REACH characters of an entity. Cut words don't count."""
+    one = found.where("size(spans) > 0").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "key", "row", "text", F.explode("spans").alias("s"))
     one = one.select(
-        "doc_id", "key", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
+        "doc_id", "key", "row", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
         F.expr(f"greatest(0, s.start - {REACH})").alias("l0"), F.expr("s.end").alias("r0"),
         F.expr(f"substring(text, greatest(0, s.start - {REACH}) + 1, s.start - greatest(0, s.start - {REACH}))").alias("l"), F.expr(f"substring(text, s.end + 1, {REACH})").alias("r"),
     )
     one = one.withColumn("context", F.xxhash64("l", "r")).withColumn("_l", find_all("l", TERM)).withColumn("_r", find_all("r", TERM))
     sides = F.expr(f"concat(transform(filter(_l, x -> x.start > 0 or l0 = 0), x -> named_struct('term', lower(x.value), 'start', l0 + x.start, 'end', l0 + x.end)), transform(filter(_r, x -> x.end < {REACH}), x -> named_struct('term', lower(x.value), 'start', r0 + x.start, 'end', r0 + x.end)))")
-    return one.select("doc_id", "key", "kind", "entity", "context", F.explode(sides).alias("t")).select("doc_id", "key", "kind", "entity", "context", "t.*")
+    return one.select("doc_id", "key", "row", "kind", "entity", "context", F.explode(sides).alias("t")).select("doc_id", "key", "row", "kind", "entity", "context", "t.*")
 
 
 def disclosing(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
@@ -110,12 +116,32 @@ def disclosing(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE
     return out.select("kind", "entity", "term", F.when(F.col("_g") < disclosure, F.concat("stem", F.lit("*"))).alias("generalised"))
 
 
-def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """The table of base_spans without the text, and (doc_id, key, terms): terms array<struct<start, end, generalised>> by start."""
+def disclosing_rows(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
+    """disclosing() with all four counts in rows of `found` (text). near: (row, kind, entity, term), repeated or not.
+
+    Words and stems are counted before they are joined, so a frequent one
+    moves one row a task.
+    """
+    near = near.select("row", "kind", "entity", "term").distinct()
+    e = near.select("row", "kind", "entity").distinct().groupBy("kind", "entity").agg(F.count("*").alias("ne"))
+    et = near.groupBy("kind", "entity", "term").agg(F.count("*").alias("net"))
+    total = float(found.count())
+    strength = lambda n: F.log(F.col("net") * F.lit(total) / (F.col("ne") * F.col(n))) / F.log(F.lit(total) / F.col("ne"))
+    words = f"transform(regexp_extract_all(text, '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> lower(w))"
+    nt = found.select(F.explode(F.expr(f"array_distinct({words})")).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    ns = found.select(F.explode(F.expr(f"array_distinct(transform({words}, w -> substring(w, 1, {stem})))")).alias("stem")).groupBy("stem").agg(F.count("*").alias("ns"))
+    out = et.join(e, ["kind", "entity"]).where(F.col("ne") < total).join(nt, "term").where(strength("nt") >= disclosure)
+    rare = (F.col("net") == F.col("ne")) & (F.col("ne") * F.col("nt") <= CHANCE * total)
+    out = keep(out.where((F.col("net") >= support) | rare)).withColumn("stem", F.substring("term", 1, stem)).join(ns, "stem")
+    return out.select("kind", "entity", "term", F.when(strength("ns") < disclosure, F.concat("stem", F.lit("*"))).alias("generalised"))
+
+
+def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The table of base_spans without the text, and (doc_id, key, terms): terms array<struct<start, end, generalised>> by start. rows: counts of disclosing_rows."""
     found = base_spans(docs)
     slim = keep(found.select("doc_id", "key", "spans"))
     near = keep(contexts(found))
-    out = disclosing(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), near, disclosure, support)
+    out = (disclosing_rows if rows else disclosing)(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), near, disclosure, support)
     hit = near.join(out, ["kind", "entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.min(F.coalesce("generalised", F.lit(""))).alias("g"))
     terms = hit.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.nullif("g", F.lit("")).alias("generalised")))).alias("terms"))
     return slim, terms
@@ -145,7 +171,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     longer, then by kind as listed; what another has beyond it is covered by
     its mark too. Null text stays null.
     """
-    slim, terms = all_spans(docs, disclosure, support)
+    slim, terms = all_spans(docs, disclosure, support, rows=True)
     base = docs.withColumn("__pii_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     mark = "case x.kind " + " ".join(f"when '{k}' then '{MARKS[k]}'" for k in KINDS) + " end"
     found = slim.where("size(spans) > 0").dropDuplicates(["doc_id", "key"])

@@ -147,6 +147,15 @@ def test_null_ids_and_clashing_names(spark):
     assert pii.detect(df).where("n_ip = 1 and n_term > 0").count() == 6
 
 
+def test_rare_entities_and_copies(spark):
+    """A term that stands with one entity alone goes, be the entity seen once or in exact copies only; common words and terms of small tables stay."""
+    rows = [(1, "the common keeper zorblax writes from ann@mail.example today"), *[(100 + i, f"the common warden quillon of {'ab'[i // 20]} has 10.1.2.3 today") for i in range(40)], *[(1000 + i, "the common road writes from here today") for i in range(200)]]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "zorblax" not in out[1] and "keeper" not in out[1] and out[1].startswith("the common ") and out[1].endswith(" writes from [EMAIL] today")
+    assert all("quillon" not in out[100 + i] and "warden" not in out[100 + i] and "common" in out[100 + i] for i in range(40))
+    assert out[1000] == "the common road writes from here today"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(df).count() == 0 and pii.sanitise(df).count() == 0
