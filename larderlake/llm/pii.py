@@ -14,7 +14,10 @@ words of those letters no longer reach the threshold, else removed.
 That is what `detect` reports, as its SQL does. `sanitise` counts n(e) and
 n(e, t) in documents too, as n(t) and N are, and judges rare entities: below
 `support` a term must stand in every document of the entity, and chance must
-put no more than CHANCE documents with both into the corpus.
+put no more than CHANCE documents with both into the corpus. It weighs the
+terms of the whole sentence or line of an entity and those within REACH, cut
+ones included, and generalises a term that discloses wherever it stands, in
+every text.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ TERM = r"\p{L}{3,}+"
 REACH = 48  # characters of context on each side
 DISCLOSURE, SUPPORT, STEM = 0.9, 3, 2
 CHANCE = 0.05  # documents with both that independence would give, n(e) * n(t) / N, at most, for terms below the support
+#: SQL: the terms of column `text`, lower-cased.
+WORDS = f"transform(regexp_extract_all(text, '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> lower(w))"
 MARKS = {x: f"[{x.upper()}]" for x in KINDS} | {"term": "[TERM]"}
 
 
@@ -78,16 +83,16 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, key, row, kind, entity, context, term, start, end): every term within REACH characters of an entity. Cut words don't count."""
-    one = found.where("size(spans) > 0").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "key", "row", "text", F.explode("spans").alias("s"))
+    """(doc_id, key, kind, entity, context, term, start, end): every term within REACH characters of an entity. Cut words don't count."""
+    one = found.where("size(spans) > 0").select("doc_id", "key", "text", F.explode("spans").alias("s"))
     one = one.select(
-        "doc_id", "key", "row", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
+        "doc_id", "key", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
         F.expr(f"greatest(0, s.start - {REACH})").alias("l0"), F.expr("s.end").alias("r0"),
         F.expr(f"substring(text, greatest(0, s.start - {REACH}) + 1, s.start - greatest(0, s.start - {REACH}))").alias("l"), F.expr(f"substring(text, s.end + 1, {REACH})").alias("r"),
     )
     one = one.withColumn("context", F.xxhash64("l", "r")).withColumn("_l", find_all("l", TERM)).withColumn("_r", find_all("r", TERM))
     sides = F.expr(f"concat(transform(filter(_l, x -> x.start > 0 or l0 = 0), x -> named_struct('term', lower(x.value), 'start', l0 + x.start, 'end', l0 + x.end)), transform(filter(_r, x -> x.end < {REACH}), x -> named_struct('term', lower(x.value), 'start', r0 + x.start, 'end', r0 + x.end)))")
-    return one.select("doc_id", "key", "row", "kind", "entity", "context", F.explode(sides).alias("t")).select("doc_id", "key", "row", "kind", "entity", "context", "t.*")
+    return one.select("doc_id", "key", "kind", "entity", "context", F.explode(sides).alias("t")).select("doc_id", "key", "kind", "entity", "context", "t.*")
 
 
 def disclosing(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
@@ -127,26 +132,65 @@ def disclosing_rows(found: DataFrame, near: DataFrame, disclosure: float = DISCL
     et = near.groupBy("kind", "entity", "term").agg(F.count("*").alias("net"))
     total = float(found.count())
     strength = lambda n: F.log(F.col("net") * F.lit(total) / (F.col("ne") * F.col(n))) / F.log(F.lit(total) / F.col("ne"))
-    words = f"transform(regexp_extract_all(text, '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> lower(w))"
-    nt = found.select(F.explode(F.expr(f"array_distinct({words})")).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    ns = found.select(F.explode(F.expr(f"array_distinct(transform({words}, w -> substring(w, 1, {stem})))")).alias("stem")).groupBy("stem").agg(F.count("*").alias("ns"))
+    nt = found.select(F.explode(F.expr(f"array_distinct({WORDS})")).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    ns = found.select(F.explode(F.expr(f"array_distinct(transform({WORDS}, w -> substring(w, 1, {stem})))")).alias("stem")).groupBy("stem").agg(F.count("*").alias("ns"))
     out = et.join(e, ["kind", "entity"]).where(F.col("ne") < total).join(nt, "term").where(strength("nt") >= disclosure)
     rare = (F.col("net") == F.col("ne")) & (F.col("ne") * F.col("nt") <= CHANCE * total)
     out = keep(out.where((F.col("net") >= support) | rare)).withColumn("stem", F.substring("term", 1, stem)).join(ns, "stem")
     return out.select("kind", "entity", "term", F.when(strength("ns") < disclosure, F.concat("stem", F.lit("*"))).alias("generalised"))
 
 
-def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The table of base_spans without the text, and (doc_id, key, terms): terms array<struct<start, end, generalised>> by start. rows: counts of disclosing_rows."""
+def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """The table of base_spans without the text, and (doc_id, key, terms): terms array<struct<start, end, generalised>> by start."""
     found = base_spans(docs)
     slim = keep(found.select("doc_id", "key", "spans"))
     near = keep(contexts(found))
-    out = (disclosing_rows if rows else disclosing)(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), near, disclosure, support)
+    out = disclosing(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), near, disclosure, support)
     hit = near.join(out, ["kind", "entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.min(F.coalesce("generalised", F.lit(""))).alias("g"))
     terms = hit.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.nullif("g", F.lit("")).alias("generalised")))).alias("terms"))
     return slim, terms
 
 
+def neighbours(found: DataFrame) -> DataFrame:
+    """(row, kind, entity, term): the terms in the sentence or line of an entity, or within REACH characters of it; words cut by either edge are whole."""
+    one = found.where("size(spans) > 0").withColumn("row", F.monotonically_increasing_id()).select("row", "text", F.explode("spans").alias("s"))
+    one = one.select(
+        "row", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
+        F.expr("substring(text, 1, s.start)").alias("l"), F.expr("substring(text, s.end + 1)").alias("r"),
+    )
+    ends = r"(?<=[.!?。！？])\\s+|(?<=[。！？])|\\n"
+    left = f"greatest(length(element_at(split(l, '{ends}', -1), -1)), length(regexp_extract(substring(l, 1, greatest(0, length(l) - {REACH})), '(?<!\\\\p{{L}})\\\\p{{L}}*+$', 0)) + {REACH})"
+    right = f"greatest(length(element_at(split(r, '{ends}', 2), 1)), {REACH} + length(regexp_extract(substring(r, {REACH + 1}), '^\\\\p{{L}}*+', 0)))"
+    whole = F.expr(f"concat(substring(l, greatest(1, length(l) - {left} + 1)), ' ', substring(r, 1, {right}))")
+    return one.select("row", "kind", "entity", whole.alias("text")).select("row", "kind", "entity", F.explode(F.expr(f"array_distinct({WORDS})")).alias("term"))
+
+
+def everywhere(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(doc_id, key, spans, flagged) of the texts with an entity or a disclosing term; flagged: map from each such term to its generalisation, '' where it must go."""
+    found = base_spans(docs)
+    slim = keep(found.select("doc_id", "key", "spans")).where("size(spans) > 0")
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    near = keep(neighbours(found))
+    strong = keep(disclosing_rows(texts, near, disclosure, support).groupBy("term").agg(F.min(F.coalesce("generalised", F.lit(""))).alias("g")))
+    words = texts.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.expr(f"array_distinct({WORDS})")).alias("term"))
+    hits = words.join(strong, "term").groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", "g")).alias("hits"))
+    both = slim.select("*", F.lit(None).cast("array<struct<term:string,g:string>>").alias("hits")).unionByName(hits, allowMissingColumns=True)
+    one = both.groupBy("doc_id", "key").agg(F.first("spans", True).alias("spans"), F.first("hits", True).alias("hits"))
+    return one.select("doc_id", "key", F.coalesce("spans", F.array().cast(slim.schema["spans"].dataType)).alias("spans"), F.map_from_entries(F.coalesce("hits", F.array().cast("array<struct<term:string,g:string>>"))).alias("flagged"))
+
+
+def term_spans(text: str, flagged: str) -> str:
+    """SQL: array<struct<start, end, generalised>> of the terms in column `text` that are keys of the map `flagged`."""
+    p = "'" + TERM.replace("\\", "\\\\") + "'"
+    return f"""aggregate(
+        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
+        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,generalised:string>>)),
+        (a, x) -> if(x['0'] is null, a, named_struct(
+            'at', a.at + length(x['1']) + length(x['0']),
+            'out', if({flagged}[lower(x['0'])] is null, a.out, array_append(a.out, named_struct('start', a.at + length(x['1']), 'end', a.at + length(x['1']) + length(x['0']), 'generalised', nullif({flagged}[lower(x['0'])], '')))))),
+        a -> a.out)"""
+
+
 def detect(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, n_term, spans) of each row of docs (doc_id, text).
 
@@ -171,17 +215,13 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     longer, then by kind as listed; what another has beyond it is covered by
     its mark too. Null text stays null.
     """
-    slim, terms = all_spans(docs, disclosure, support, rows=True)
+    found = everywhere(docs, disclosure, support).select(F.col("doc_id").alias("__pii_doc"), F.col("key").alias("__pii_k"), F.col("spans").alias("__pii_base"), F.col("flagged").alias("__pii_flagged"))
     base = docs.withColumn("__pii_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     mark = "case x.kind " + " ".join(f"when '{k}' then '{MARKS[k]}'" for k in KINDS) + " end"
-    found = slim.where("size(spans) > 0").dropDuplicates(["doc_id", "key"])
-    named = terms.select(F.col("doc_id").alias("__pii_a"), F.col("key").alias("__pii_b"), "terms")
-    found = found.join(named, F.expr("doc_id <=> __pii_a and key = __pii_b"), "left")
-    spans = F.expr(f"""array_sort(concat(
-        transform(spans, x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', {mark})),
-        transform(coalesce(terms, array()), x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', coalesce(x.generalised, '{MARKS["term"]}')))))""")
-    found = found.select(F.col("doc_id").alias("__pii_doc"), F.col("key").alias("__pii_k"), spans.alias("__pii_spans"))
-    out = base.join(found, (base.doc_id.eqNullSafe(found["__pii_doc"])) & (base["__pii_key"] == found["__pii_k"]), "left")
+    spans = F.expr(f"""if(__pii_k is null, null, array_sort(concat(
+        transform(__pii_base, x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', {mark})),
+        transform(if(size(__pii_flagged) > 0, {term_spans('text', '__pii_flagged')}, cast(array() as array<struct<start:int,end:int,generalised:string>>)), x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', coalesce(x.generalised, '{MARKS["term"]}'))))))""")
+    out = base.join(found, (base.doc_id.eqNullSafe(found["__pii_doc"])) & (base["__pii_key"] == found["__pii_k"]), "left").withColumn("__pii_spans", spans)
     text = F.expr("""aggregate(__pii_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', concat(a.out, array(substring(text, a.at + 1, greatest(0, x.start - a.at)), x.mark)))),
         a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))""")

@@ -156,6 +156,16 @@ def test_rare_entities_and_copies(spark):
     assert out[1000] == "the common road writes from here today"
 
 
+def test_terms_go_everywhere(spark):
+    """Far from the entity in the same text, in texts without it, at the window's edge, and beyond it in the same sentence."""
+    far = "plain words stand here. " * 20
+    rows = [(1, f"Zorblax begins. {far}the keeper zorblax has 10.1.2.3 now. {far}So zorblax ends"), (2, "of zorblax alone"), (5, "the keeper zorblax has 10.1.2.3 now."), *[(i, f"plain words stand here and the keeper has now so begins ends {i}") for i in range(10, 300)]]
+    rows += [(3, f"{'the words and ' * 9}quillon {'plain words ' * 9} mail x@y.example now."), (4, "the words " + "z" * 60 + " 10.9.8.7")]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "zorblax" not in out[1].lower() and "10.1.2.3" not in out[1] and out[1].count("plain words stand here. ") == 40
+    assert "zorblax" not in out[2] and "quillon" not in out[3] and "zzz" not in out[4] and all(out[d] == t for d, t in rows if d >= 10)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.detect(df).count() == 0 and pii.sanitise(df).count() == 0
