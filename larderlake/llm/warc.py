@@ -2,7 +2,9 @@
 
 The reader checks each gzip member (or, uncompressed, each record) in turn.
 After a failed check it searches for the next place where a whole record can
-be read, goes on there, and logs the bytes between as a quarantined gap.
+be read, goes on there, and logs the bytes between as a quarantined gap. The
+same holds inside a member of several records, and for what a damaged member
+gave before its error.
 """
 
 from __future__ import annotations
@@ -69,17 +71,27 @@ def _one(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 class _Inflate:
-    """decompressobj fed in pieces, so that a small member of a large archive doesn't copy the rest."""
+    """decompressobj fed in pieces, so that a small member of a large archive doesn't copy the rest. `error` says why a member isn't whole."""
 
     def __init__(self):
-        self.d, self.end = zlib.decompressobj(31), 0
+        self.d, self.end, self.error = zlib.decompressobj(31), 0, ""
 
     def read(self, data: bytes, at: int) -> bytes:
         out, step = [], 1 << 16
         while not self.d.eof and at < len(data):
-            out.append(self.d.decompress(data[at : at + step]))
+            before = self.d.copy()
+            try:
+                out.append(self.d.decompress(data[at : at + step]))
+            except zlib.error as e:
+                if step == 1:
+                    self.error = f"gzip: {e}"
+                    return b"".join(out)
+                self.d, step = before, 1  # again, to keep what comes before the error
+                continue
             at += step
         self.end = min(at, len(data)) - len(self.d.unused_data)
+        if not self.d.eof:
+            self.error = "gzip: the member doesn't end"
         return b"".join(out)
 
 
@@ -87,7 +99,11 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes,
     """("record", start, end, headers, block, "") for each record, ("gap", start, end, {}, b"", reason) for each gap.
 
     Starts and ends are offsets into `data`. Records and gaps come in order
-    and cover all bytes. An empty archive gives nothing.
+    and cover all bytes. An empty archive gives nothing. Records and gaps
+    inside a gzip member have the member's start and end; such a gap's reason
+    tells its place among the inflated bytes. A damaged member reaches to the
+    next place where a record can be read. Where its bytes were wrong, and not
+    just cut off, only blocks with a digest of their own are kept.
     """
     at = 0
     while at < len(data):
@@ -98,31 +114,53 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes,
             at = _next(data, at + 1)
             yield "gap", begin, at, {}, b"", reason
             continue
-        for headers, body in found:
-            yield "record", at, end, headers, body, ""
+        end = end or _next(data, at + 1)
+        for headers, body, why in found:
+            yield ("gap", at, end, {}, b"", why) if why else ("record", at, end, headers, body, "")
         at = end
 
 
-def _read(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    if data[at : at + 3] == MEMBER:
-        x = _Inflate()
+def _read(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes, str]], int]:
+    """(headers, block, "") of each record and ({}, b"", reason) of each gap of the member or plain record at `at`, and its end, 0 if damage hides it. Raises ValueError where no record can be read."""
+    if data[at : at + 3] != MEMBER:
+        headers, body, end = _one(data, at)
+        return [(headers, body, "")], end
+    x = _Inflate()
+    plain = x.read(data, at)
+    found, first, i = [], "", 0
+    while i < len(plain):
         try:
-            plain = x.read(data, at)
-        except zlib.error as e:
-            raise ValueError(f"gzip: {e}") from None
-        if not x.d.eof:
-            raise ValueError("gzip: the member doesn't end")
-        found, i = [], 0
-        while i < len(plain):
-            headers, body, i = _one(plain, i)
-            found.append((headers, body))
-        return found, x.end
-    headers, body, end = _one(data, at)
-    return [(headers, body)], end
+            headers, body, end = _one(plain, i)
+            if x.error and x.end == 0 and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise ValueError("no block digest in a damaged member")
+            found.append((headers, body, ""))
+            i = end
+        except ValueError as e:
+            begin, reason = i, str(e)
+            i = _following(plain, i + 1, bool(x.error and x.end == 0))
+            first = first or reason
+            found.append(({}, b"", f"{reason} (inflated bytes {begin} to {i})"))
+    if not any(not why for _, _, why in found):
+        raise ValueError(x.error or first or "no record")
+    if x.error:
+        found.append(({}, b"", x.error))
+    return found, 0 if x.error else x.end
+
+
+def _following(plain: bytes, at: int, digest: bool) -> int:
+    """The next place among inflated bytes where a whole record can be read, or the end. digest: only one with a digest of its block."""
+    for m in _LINE.finditer(plain, at):
+        try:
+            headers = _one(plain, m.start())[0]
+        except ValueError:
+            continue
+        if not digest or headers.get("warc-block-digest", "").startswith("sha1:"):
+            return m.start()
+    return len(plain)
 
 
 def _next(data: bytes, at: int) -> int:
-    """The next place where a whole member or record can be read, or the end."""
+    """The next place where a record can be read, or the end."""
     while True:
         m = _LINE.search(data, at)
         places = [x for x in (data.find(MEMBER, at), m.start() if m else -1) if x >= 0]

@@ -63,6 +63,28 @@ def test_several_records_in_a_member():
     assert read(gzip.compress(a + b))[0] == {"<a>": b"<a>", "<b>": b"<b>"}
 
 
+def test_damage_inside_a_member():
+    """One record of many fails its check, the member is cut off, or its bytes are wrong: the others are read."""
+    rng = random.Random(5)
+    bodies = [rng.randbytes(3000) for _ in range(60)]
+    parts = [warc.record({"WARC-Record-ID": f"<urn:page:{i}>", "WARC-Block-Digest": f"sha1:{warc.digest(b)}"}, b, False) for i, b in enumerate(bodies)]
+    other = warc.record({"WARC-Record-ID": "<other>"}, b"other")
+    hurt = parts[:20] + [parts[20][:-50] + b"?" + parts[20][-49:]] + parts[21:]
+    records, gaps = read(gzip.compress(b"".join(hurt)) + other)
+    assert records == {f"<urn:page:{i}>": b for i, b in enumerate(bodies) if i != 20} | {"<other>": b"other"}
+    start = len(b"".join(parts[:20]))
+    assert [why for *_, why in gaps] == [f"block digest differs (inflated bytes {start} to {start + len(parts[20])})"]
+    whole = gzip.compress(b"".join(parts))
+    records, gaps = read(whole[: len(whole) // 2])
+    assert list(records.values()) == bodies[: len(records)] and len(records) >= 28 and gaps[-1][2] == "gzip: the member doesn't end"
+    records, gaps = read(whole[:-8] + b"\0" * 8 + other)
+    assert len(records) == 61 and len(gaps) == 1 and "gzip" in gaps[0][2]
+    plain = gzip.compress(b"".join(warc.record({"WARC-Record-ID": f"<{i}>"}, b"body", False) for i in range(3)))
+    assert read(plain[:-8] + b"\0" * 8 + other)[0] == {"<other>": b"other"}
+    two = whole[: len(whole) // 2] + whole
+    assert list(read(two)[0].values()) == bodies
+
+
 def test_query(spark, sf):
     pages = spark.read.parquet(sf + "/pages.parquet").collect()
     first = {}
