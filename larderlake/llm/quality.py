@@ -2,9 +2,13 @@
 
 Characters fall into 64 classes by a rule, so the counts of all n-grams of
 order 4 are 64**4 fixed counters. Every trusted text is counted; counts of one
-shard (CHUNK n-grams) are summed where they meet and joined with the n-grams
-of a document by their place in the shard. A document's perplexity is compared
-with a quantile of the trusted documents' in its language.
+shard (CHUNK n-grams) are summed where they meet. There is no join of a
+document's n-grams with the shards: the driver gathers them into one array of
+64**4 probabilities, broadcasts it, and a document's n-grams index it. So the
+model doesn't grow with the corpus, and alphabets besides a to z share classes.
+
+A document's perplexity is compared with two quantiles of the trusted
+documents' in its language and band of length; see `classify`.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ A = 64
 ORDER = 4
 #: Share of trusted documents below the quantile; what is allowed beyond it in log perplexity, and besides for short texts, over the root of their length.
 QUANTILE, SLACK, SHORT = 0.99, 0.05, 3.0
+#: Share of trusted documents below the lower quantile, and how many a band needs to have quantiles of its own: so many that one document at least lies beyond each.
+LOWEST, BAND_LEAST = 0.005, 200
 
 
 def _classes() -> np.ndarray:
@@ -140,10 +146,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """(doc_id, lang, n_characters, log_perplexity, threshold, trusted, accepted) of each row of docs (doc_id, text, lang).
 
     Trusted: labelled with quality 1 and toxic 0 (null toxic: 0). The model
-    learns from all of them. threshold: the quantile of the trusted documents'
-    log perplexity in the row's language, plus slack, plus `short` over the
-    root of the row's number of characters (short texts vary more); of all trusted ones where
-    the language has none or is null. Accepted: not above the threshold.
+    learns from all of them. A band of length is a power of two of characters.
+    threshold: the quantile of the trusted documents' log perplexity in the
+    row's language and band, if it has BAND_LEAST of them; such rows must not
+    be below the LOWEST quantile there either (one repeated word is predicted
+    too well). In other bands the quantile of the language, plus slack, plus
+    `short` over the root of the row's number of characters (short texts vary
+    more); of all trusted ones where the language has none or is null.
+    Accepted: not above the threshold, nor below the lower quantile.
     Without text, without trusted documents: accepted. Repeated rows stay,
     repeated labels count once; an empty table gives an empty one.
     """
@@ -158,8 +168,16 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     # a row for each language; as a local relation Spark knows its size before it chooses the join
     own = docs.sparkSession.createDataFrame(known.where("lang is not null").groupBy("lang").agg(cut.alias("_own")).collect(), "lang string, _own double")
     whole = known.agg(cut.alias("_all")).first()[0]
-    out = scored.join(own, "lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(whole).cast("double")) + F.lit(float(short)) / F.sqrt(F.greatest("n_characters", F.lit(1))))
-    return out.select("doc_id", "lang", "n_characters", "log_perplexity", "threshold", "trusted", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(True)).alias("accepted"))
+    band = F.floor(F.log2(F.greatest("n_characters", F.lit(1)))).cast("int")
+    by_band = known.where("lang is not null").groupBy("lang", band.alias("band")).agg(
+        F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(100_000)).alias("_high"), F.percentile_approx("log_perplexity", F.lit(LOWEST), F.lit(100_000)).alias("_low"), F.count("*").alias("n")
+    )
+    # a row for each language and power of two
+    bands = docs.sparkSession.createDataFrame(by_band.where(F.col("n") >= BAND_LEAST).drop("n").collect(), "lang string, band int, _high double, _low double")
+    loose = F.coalesce("_own", F.lit(whole).cast("double")) + F.lit(float(short)) / F.sqrt(F.greatest("n_characters", F.lit(1)))
+    out = scored.join(own, "lang", "left").withColumn("band", band).join(bands, ["lang", "band"], "left").withColumn("threshold", F.coalesce("_high", loose))
+    fits = (F.col("log_perplexity") <= F.col("threshold")) & (F.col("log_perplexity") >= F.coalesce("_low", F.col("log_perplexity")))
+    return out.select("doc_id", "lang", "n_characters", "log_perplexity", "threshold", "trusted", F.coalesce(fits, F.lit(True)).alias("accepted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,21 @@ def test_scores(spark):
     assert by[1, "en"].trusted and not by[7, "fr"].trusted and by[1, "en"].accepted and not by[3, "en"].accepted and by[6, None].accepted
 
 
+def test_bands(spark):
+    """Where a language and band have trusted texts enough, their quantiles hold without allowance, on both sides."""
+    rng = random.Random(4)
+    words = "the cat sat on a mat and dogs ran by our old red barn while rain fell over hills".split()
+    text = lambda n, junk=0: " ".join("".join(rng.choice("qxzjkw") for _ in range(4)) if rng.random() < junk else rng.choice(words) for _ in range(n))
+    rows = [(i, text(40), "en") for i in range(400)] + [(1000 + i, text(40, 0.15), "en") for i in range(50)] + [(2000 + i, (words[i % 10] + " ") * 45, "en") for i in range(20)]
+    labels = [(i, 1, 0) for i in range(400)]
+    got = quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert sum(not r.accepted for r in got if 1000 <= r.doc_id < 2000) >= 48
+    assert sum(r.accepted for r in got if r.doc_id < 1000) >= 0.98 * 400
+    low = min(r.log_perplexity for r in got if r.trusted and 128 <= r.n_characters < 256)
+    dull = [r.accepted for r in got if r.doc_id >= 2000 and 128 <= r.n_characters < 256 and r.log_perplexity < low]
+    assert dull and not any(dull)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
