@@ -44,22 +44,34 @@ DISCLOSURE, SUPPORT, STEM = 0.9, 3, 2
 CHANCE = 0.05  # documents with both that independence would give, n(e) * n(t) / N, at most, for terms below the support
 #: SQL: the terms of column `text`, lower-cased.
 WORDS = f"transform(regexp_extract_all(text, '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> lower(w))"
+PIECE = 256  # matches that are gathered before they join the array of a text's matches
 MARKS = {x: f"[{x.upper()}]" for x in KINDS} | {"term": "[TERM]"}
 
 
+def _fold(text: str, pattern: str, kind: str, holds: str, value: str) -> str:
+    """SQL: array<struct<{kind}>> of the matches of a pattern that hold, with `s` and `e` as their ends in code points.
+
+    The array grows in pieces of PIECE, so a text with many matches isn't
+    copied anew for each of them.
+    """
+    one = f"named_struct('s', a.at + length(x['1']), 'e', a.at + length(x['1']) + length(x['0']), 'v', x['0'])"
+    return f"""transform(aggregate(
+        arrays_zip(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1)),
+        named_struct('at', 0, 'some', cast(array() as array<struct<s:int,e:int,v:string>>), 'out', cast(array() as array<array<struct<s:int,e:int,v:string>>>)),
+        (a, x) -> if(x['0'] is null, a, named_struct(
+            'at', a.at + length(x['1']) + length(x['0']),
+            'some', if({holds}, if(size(a.some) >= {PIECE}, array({one}), array_append(a.some, {one})), a.some),
+            'out', if({holds} and size(a.some) >= {PIECE}, array_append(a.out, a.some), a.out))),
+        a -> flatten(array_append(a.out, a.some))), x -> cast({value} as struct<{kind}>))"""
+
+
 def find_all(text: str, pattern: str, cheap: str | None = None) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches in column `text`, in code points, end exclusive."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    none = "cast(array() as array<struct<start:int,end:int,value:string>>)"
-    found = f"""aggregate(
-        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
-        named_struct('at', 0, 'out', {none}),
-        (a, x) -> if(x['0'] is null, a, named_struct(
-            'at', a.at + length(x['1']) + length(x['0']),
-            'out', array_append(a.out, named_struct('start', a.at + length(x['1']), 'end', a.at + length(x['1']) + length(x['0']), 'value', x['0'])))),
-        a -> a.out)"""
+    kind = "start:int,end:int,value:string"
+    found = _fold(text, p, kind, "true", "named_struct('start', x.s, 'end', x.e, 'value', x.v)")
     first = f"contains({text}, '{cheap}') and " if cheap else ""
-    return F.expr(f"if({first}{text} rlike {p}, {found}, {none})")
+    return F.expr(f"if({first}{text} rlike {p}, {found}, cast(array() as array<struct<{kind}>>))")
 
 
 def _holds(kind: str) -> str:
@@ -82,58 +94,61 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", F.xxhash64("text").alias("key"), F.expr(f"concat({', '.join(parts)})").alias("spans"))
 
 
+#: SQL: what stands for an entity in the counts, of a span s.
+ENTITY = "if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))"
+
+
+def clipped(found: DataFrame) -> DataFrame:
+    """found with `near` instead of the text: for each span its entity and the REACH characters on both sides."""
+    l0 = f"greatest(0, s.start - {REACH})"
+    near = F.expr(f"transform(spans, s -> named_struct('kind', s.kind, 'entity', {ENTITY}, 'l0', {l0}, 'r0', s.end, 'l', substring(text, {l0} + 1, s.start - {l0}), 'r', substring(text, s.end + 1, {REACH})))")
+    return found.select("doc_id", "key", "spans", near.alias("near"))
+
+
 def contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, key, kind, entity, context, term, start, end): every term within REACH characters of an entity. Cut words don't count."""
-    one = found.where("size(spans) > 0").select("doc_id", "key", "text", F.explode("spans").alias("s"))
-    one = one.select(
-        "doc_id", "key", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
-        F.expr(f"greatest(0, s.start - {REACH})").alias("l0"), F.expr("s.end").alias("r0"),
-        F.expr(f"substring(text, greatest(0, s.start - {REACH}) + 1, s.start - greatest(0, s.start - {REACH}))").alias("l"), F.expr(f"substring(text, s.end + 1, {REACH})").alias("r"),
-    )
+    """(doc_id, key, kind, entity, context, term, start, end): every term in `near`. Cut words don't count."""
+    one = found.select("doc_id", "key", F.explode("near").alias("s")).select("doc_id", "key", "s.*")
     one = one.withColumn("context", F.xxhash64("l", "r")).withColumn("_l", find_all("l", TERM)).withColumn("_r", find_all("r", TERM))
     sides = F.expr(f"concat(transform(filter(_l, x -> x.start > 0 or l0 = 0), x -> named_struct('term', lower(x.value), 'start', l0 + x.start, 'end', l0 + x.end)), transform(filter(_r, x -> x.end < {REACH}), x -> named_struct('term', lower(x.value), 'start', r0 + x.start, 'end', r0 + x.end)))")
     return one.select("doc_id", "key", "kind", "entity", "context", F.explode(sides).alias("t")).select("doc_id", "key", "kind", "entity", "context", "t.*")
 
 
-def disclosing(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
+def occurrences(texts: DataFrame, words: str, stem: int) -> tuple[DataFrame, DataFrame]:
+    """(term, nt) and (stem, ns): documents that hold a term, and a word of a stem. words: SQL of a text's terms.
+
+    One pass over the texts for both. They are counted before anything joins
+    them: a task sends a row a word at most, however frequent it is.
+    """
+    both = F.expr(f"concat(transform(array_distinct(_w), w -> named_struct('x', w, 'whole', true)), transform(array_distinct(transform(_w, w -> substring(w, 1, {stem}))), w -> named_struct('x', w, 'whole', false)))")
+    counts = keep(texts.select(F.expr(words).alias("_w")).select(F.explode(both).alias("t")).groupBy("t.x", "t.whole").agg(F.count("*").alias("n")))
+    return counts.where("whole").select(F.col("x").alias("term"), F.col("n").alias("nt")), counts.where("not whole").select(F.col("x").alias("stem"), F.col("n").alias("ns"))
+
+
+def disclosing(texts: DataFrame, total: int, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
     """(kind, entity, term, generalised): the terms that disclose an entity; generalised null where they must go.
 
-    Counts cover all documents. The terms to be counted are joined with the
-    words of every document; Spark sends them to the tasks only while they
-    stay below its broadcast threshold.
+    Counts cover all of the `total` rows of texts (text).
     """
     e = near.groupBy("kind", "entity").agg(F.countDistinct("context").alias("ne"))
     et = near.groupBy("kind", "entity", "term").agg(F.countDistinct("context").alias("net")).where(F.col("net") >= support)
-    total = found.count()
     strength = lambda both, n: F.log(F.col(both) * F.lit(float(total)) / (F.col("ne") * F.col(n))) / F.log(F.lit(float(total)) / F.col("ne"))
     # n(t) is at least the documents that hold t near an entity: terms that fail by that count fail by the whole one
     least = near.groupBy("term").agg(F.greatest(F.lit(1), F.countDistinct("doc_id", "key")).alias("least"))
     et = et.join(e, ["kind", "entity"]).join(least, "term").where(F.col("ne") < total).where(strength("net", "least") >= disclosure)
     et = keep(et.drop("least"))
-    terms = et.select("term").distinct()
-    stems = terms.select(F.substring("term", 1, stem).alias("stem")).distinct()
-    words = found.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0)"))).alias("term"))
-    nt = words.join(terms, "term").groupBy("term").agg(F.count("*").alias("nt"))
-    stemmed = found.select(F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0), w -> substring(w, 1, {stem})))")).alias("stem"))
-    ns = stemmed.join(stems, "stem").groupBy("stem").agg(F.count("*").alias("ns"))
+    nt, ns = occurrences(texts, f"regexp_extract_all(lower(text), '{TERM.replace(chr(92), chr(92) * 2)}', 0)", stem)
     out = keep(et.join(nt, "term")).withColumn("_d", strength("net", "nt")).where(F.col("_d") >= disclosure)
     out = out.withColumn("stem", F.substring("term", 1, stem)).join(ns, "stem").withColumn("_g", strength("net", "ns"))
     return out.select("kind", "entity", "term", F.when(F.col("_g") < disclosure, F.concat("stem", F.lit("*"))).alias("generalised"))
 
 
 def disclosing_rows(found: DataFrame, near: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, stem: int = STEM) -> DataFrame:
-    """disclosing() with all four counts in rows of `found` (text). near: (row, kind, entity, term), repeated or not.
-
-    Words and stems are counted before they are joined, so a frequent one
-    moves one row a task.
-    """
-    near = near.select("row", "kind", "entity", "term").distinct()
+    """disclosing() with all four counts in rows of `found` (text). near: (row, kind, entity, term), distinct."""
     e = near.select("row", "kind", "entity").distinct().groupBy("kind", "entity").agg(F.count("*").alias("ne"))
     et = near.groupBy("kind", "entity", "term").agg(F.count("*").alias("net"))
     total = float(found.count())
     strength = lambda n: F.log(F.col("net") * F.lit(total) / (F.col("ne") * F.col(n))) / F.log(F.lit(total) / F.col("ne"))
-    nt = found.select(F.explode(F.expr(f"array_distinct({WORDS})")).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    ns = found.select(F.explode(F.expr(f"array_distinct(transform({WORDS}, w -> substring(w, 1, {stem})))")).alias("stem")).groupBy("stem").agg(F.count("*").alias("ns"))
+    nt, ns = occurrences(found, WORDS, stem)
     out = et.join(e, ["kind", "entity"]).where(F.col("ne") < total).join(nt, "term").where(strength("nt") >= disclosure)
     rare = (F.col("net") == F.col("ne")) & (F.col("ne") * F.col("nt") <= CHANCE * total)
     out = keep(out.where((F.col("net") >= support) | rare)).withColumn("stem", F.substring("term", 1, stem)).join(ns, "stem")
@@ -142,35 +157,36 @@ def disclosing_rows(found: DataFrame, near: DataFrame, disclosure: float = DISCL
 
 def all_spans(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """The table of base_spans without the text, and (doc_id, key, terms): terms array<struct<start, end, generalised>> by start."""
-    found = base_spans(docs)
-    slim = keep(found.select("doc_id", "key", "spans"))
-    near = keep(contexts(found))
-    out = disclosing(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), near, disclosure, support)
+    slim = keep(clipped(base_spans(docs)))
+    near = keep(contexts(slim))
+    out = disclosing(docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), slim.count(), near, disclosure, support)
     hit = near.join(out, ["kind", "entity", "term"]).groupBy("doc_id", "key", "start", "end").agg(F.min(F.coalesce("generalised", F.lit(""))).alias("g"))
     terms = hit.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.nullif("g", F.lit("")).alias("generalised")))).alias("terms"))
     return slim, terms
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """(row, kind, entity, term): the terms in the sentence or line of an entity, or within REACH characters of it; words cut by either edge are whole."""
-    one = found.where("size(spans) > 0").withColumn("row", F.monotonically_increasing_id()).select("row", "text", F.explode("spans").alias("s"))
-    one = one.select(
-        "row", F.col("s.kind").alias("kind"), F.expr("if(s.kind = 'email', lower(s.value), regexp_replace(s.value, '[^0-9.]', ''))").alias("entity"),
-        F.expr("substring(text, 1, s.start)").alias("l"), F.expr("substring(text, s.end + 1)").alias("r"),
-    )
+def sentences(found: DataFrame) -> DataFrame:
+    """found with `near` instead of the text: for each span its entity and the sentence or line it stands in, REACH characters on both sides at least; words cut by either edge are whole."""
     ends = r"(?<=[.!?。！？])\\s+|(?<=[。！？])|\\n"
-    left = f"greatest(length(element_at(split(l, '{ends}', -1), -1)), length(regexp_extract(substring(l, 1, greatest(0, length(l) - {REACH})), '(?<!\\\\p{{L}})\\\\p{{L}}*+$', 0)) + {REACH})"
-    right = f"greatest(length(element_at(split(r, '{ends}', 2), 1)), {REACH} + length(regexp_extract(substring(r, {REACH + 1}), '^\\\\p{{L}}*+', 0)))"
-    whole = F.expr(f"concat(substring(l, greatest(1, length(l) - {left} + 1)), ' ', substring(r, 1, {right}))")
-    return one.select("row", "kind", "entity", whole.alias("text")).select("row", "kind", "entity", F.explode(F.expr(f"array_distinct({WORDS})")).alias("term"))
+    left = f"greatest(length(element_at(split(x.l, '{ends}', -1), -1)), length(regexp_extract(substring(x.l, 1, greatest(0, length(x.l) - {REACH})), '(?<!\\\\p{{L}})\\\\p{{L}}*+$', 0)) + {REACH})"
+    right = f"greatest(length(element_at(split(x.r, '{ends}', 2), 1)), {REACH} + length(regexp_extract(substring(x.r, {REACH + 1}), '^\\\\p{{L}}*+', 0)))"
+    whole = f"concat(substring(x.l, greatest(1, length(x.l) - {left} + 1)), ' ', substring(x.r, 1, {right}))"
+    sides = f"transform(spans, s -> named_struct('kind', s.kind, 'entity', {ENTITY}, 'l', substring(text, 1, s.start), 'r', substring(text, s.end + 1)))"
+    return found.select("doc_id", "key", "spans", F.expr(f"transform({sides}, x -> named_struct('kind', x.kind, 'entity', x.entity, 'text', {whole}))").alias("near"))
+
+
+def neighbours(found: DataFrame) -> DataFrame:
+    """(row, kind, entity, term): the distinct terms in `near` of each row of found."""
+    one = found.where("size(near) > 0").withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("near").alias("s")).select("row", "s.*")
+    return one.select("row", "kind", "entity", F.explode(F.expr(f"array_distinct({WORDS})")).alias("term")).distinct()
 
 
 def everywhere(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, key, spans, flagged) of the texts with an entity or a disclosing term; flagged: map from each such term to its generalisation, '' where it must go."""
-    found = base_spans(docs)
-    slim = keep(found.select("doc_id", "key", "spans")).where("size(spans) > 0")
+    slim = keep(sentences(base_spans(docs)).where("size(spans) > 0"))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    near = keep(neighbours(found))
+    near = keep(neighbours(slim))
+    slim = slim.drop("near")
     strong = keep(disclosing_rows(texts, near, disclosure, support).groupBy("term").agg(F.min(F.coalesce("generalised", F.lit(""))).alias("g")))
     words = texts.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.expr(f"array_distinct({WORDS})")).alias("term"))
     hits = words.join(strong, "term").groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", "g")).alias("hits"))
@@ -182,13 +198,8 @@ def everywhere(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = S
 def term_spans(text: str, flagged: str) -> str:
     """SQL: array<struct<start, end, generalised>> of the terms in column `text` that are keys of the map `flagged`."""
     p = "'" + TERM.replace("\\", "\\\\") + "'"
-    return f"""aggregate(
-        arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,generalised:string>>)),
-        (a, x) -> if(x['0'] is null, a, named_struct(
-            'at', a.at + length(x['1']) + length(x['0']),
-            'out', if({flagged}[lower(x['0'])] is null, a.out, array_append(a.out, named_struct('start', a.at + length(x['1']), 'end', a.at + length(x['1']) + length(x['0']), 'generalised', nullif({flagged}[lower(x['0'])], '')))))),
-        a -> a.out)"""
+    value = f"named_struct('start', x.s, 'end', x.e, 'generalised', nullif({flagged}[lower(x.v)], ''))"
+    return _fold(text, p, "start:int,end:int,generalised:string", f"{flagged}[lower(x['0'])] is not null", value)
 
 
 def detect(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -222,9 +233,12 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
         transform(__pii_base, x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', {mark})),
         transform(if(size(__pii_flagged) > 0, {term_spans('text', '__pii_flagged')}, cast(array() as array<struct<start:int,end:int,generalised:string>>)), x -> named_struct('start', x.start, 'less', -x.end, 'end', x.end, 'mark', coalesce(x.generalised, '{MARKS["term"]}'))))))""")
     out = base.join(found, (base.doc_id.eqNullSafe(found["__pii_doc"])) & (base["__pii_key"] == found["__pii_k"]), "left").withColumn("__pii_spans", spans)
-    text = F.expr("""aggregate(__pii_spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
-        (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end, 'out', concat(a.out, array(substring(text, a.at + 1, greatest(0, x.start - a.at)), x.mark)))),
-        a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))""")
+    # each span's mark and what stands between it and the one before; the pieces of PIECE spans are joined at a time
+    text = F.expr(f"""aggregate(__pii_spans, named_struct('at', 0, 'some', cast(array() as array<string>), 'out', cast(array() as array<string>)),
+        (a, x) -> if(x.end <= a.at, a, named_struct('at', x.end,
+            'some', concat(if(size(a.some) >= {PIECE}, array(), a.some), array(substring(text, a.at + 1, greatest(0, x.start - a.at)), x.mark)),
+            'out', if(size(a.some) >= {PIECE}, array_append(a.out, array_join(a.some, '')), a.out))),
+        a -> concat(array_join(a.out, ''), array_join(a.some, ''), substring(text, a.at + 1)))""")
     return out.withColumn("text", F.when(F.col("__pii_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
 
 
