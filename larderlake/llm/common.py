@@ -21,6 +21,7 @@ SLICE = 500_000
 MAX_DOCS = 4096  # documents in a slice, so that an index takes 12 bits
 ROWS = 1000  # rows of an Arrow batch, at most
 CHUNK = 1 << 16  # counters in one row of a dense counter
+HUB = 100_000  # links of a node from which its rows are split over tasks
 
 U = np.uint64
 WHITE = np.zeros(256, bool)
@@ -76,20 +77,22 @@ class Slice:
     def __init__(self, at: slice, buf: np.ndarray, offs: np.ndarray):
         self.at, self.buf, self.offs, self.n = at, buf, offs, len(offs) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and where each document's words begin (n + 1)."""
+    def words(self, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, cut at `cuts` too, and where each document's words begin (n + 1)."""
         ink = ~WHITE[self.buf]
         edge = np.zeros(len(self.buf) + 1, bool)
         edge[self.offs] = True
+        if cuts is not None:
+            edge[cuts] = True
         first, last = ink & edge[:-1], ink & edge[1:]
         first[1:] |= ink[1:] & ~ink[:-1]
         last[:-1] |= ink[:-1] & ~ink[1:]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         return s, e, np.searchsorted(s, self.offs)
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """A hash for each word, and where each document's words begin."""
-        s, e, begin = self.words()
+        s, e, begin = self.words(cuts)
         return windows(rolling(BYTE[self.buf]), s, e), begin
 
 
@@ -251,6 +254,36 @@ def dense(df: DataFrame, width: int, kind=np.int64) -> np.ndarray:
     return out[:width]
 
 
+def bit_map(df: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits on the driver, packed: those that the column `at` of df names are set. Their number is fixed, so their size is bounded."""
+    size = min(CHUNK, 1 << bits)
+
+    def gathered(chunks: dict[int, np.ndarray]):
+        return {"chunk": list(chunks), "bits": [zlib.compress(x.tobytes(), 1) for x in chunks.values()]}
+
+    def mark(it):
+        c = np.zeros(1 << bits, bool)
+        for b in it:
+            c[b["at"].to_numpy(zero_copy_only=False)] = True
+        some = np.flatnonzero(c.reshape(-1, size).any(1))
+        yield gathered({int(i): np.packbits(c[i * size : (i + 1) * size]) for i in some})
+
+    def add(it):
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for i, x in zip(b["chunk"].to_pylist(), b["bits"].to_pylist()):
+                x = np.frombuffer(zlib.decompress(x), np.uint8)
+                sums[i] = sums[i] | x if i in sums else x
+        yield gathered(sums)
+
+    parts = batches(df.select("at"), mark, "chunk int, bits binary").repartition("chunk")
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for i, x in batches(parts, add, "chunk int, bits binary").collect():
+        x = np.frombuffer(zlib.decompress(bytes(x)), np.uint8)
+        out[i * (size >> 3) : i * (size >> 3) + len(x)] = x
+    return out
+
+
 # Connected components
 
 
@@ -260,22 +293,30 @@ def components(links: DataFrame, rounds: int = 60, scratch: list[str] | None = N
     Large-star and small-star steps alternate until nothing changes; all
     steps are joins and minima over the link table, each written to the
     shared folder. The number of steps grows with the logarithm of the size.
-    Self-links and null ends are ignored.
+    Self-links and null ends are ignored. Where a node has HUB links or more
+    the minima are written before they are joined, so that the join is between
+    plain shuffles and Spark splits the hub's rows over several tasks.
     """
     spark, before, own = links.sparkSession, None, []
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch=own)
+    hub = edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").count().agg(F.max("count")).first()[0] or 0
     for _ in range(rounds):
+        passing: list[str] = []
+        low_of = lambda df, m: keep(df.groupBy("u").agg(m), scratch=passing).hint("merge") if hub >= HUB else df.groupBy("u").agg(m)  # noqa: E731, B023
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low_of(both, F.least(F.min("v"), F.first("u")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = low_of(large, F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = keep(small, scratch=own)
         forget(spark, own.pop(0))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        for path in passing:
+            forget(spark, path)
+        degree = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+        *now, hub = degree.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+        hub = hub or 0
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
     if scratch is not None:
