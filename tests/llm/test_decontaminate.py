@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from larderlake.llm import common
 from larderlake.llm import decontaminate as D
 
 
@@ -36,7 +37,7 @@ def test_tiles():
             a = rng.randrange(len(item) + 1)
             doc += item[a : a + rng.randrange(12)] + [rng.randrange(9)] * rng.randrange(2)
         least = rng.choice([1, 2, 3, 5])
-        h = lambda x: D.mix(np.array(x, np.uint64))
+        h = lambda x: common.mix(np.array(x, np.uint64))
         assert D.tile(h(doc), h(item), least) == greedy(doc, item, least), (doc, item, least)
 
 
@@ -72,12 +73,44 @@ def test_reordered_passages(spark):
     assert got[1].contaminated and got[2].contaminated and got[6].coverage == 1
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D.blocks, "__defaults__", (25,))
+def test_shared_windows(spark):
+    """Items that share windows, and a bloom filter so small that it lets through what isn't there."""
     rng = random.Random(8)
     bench = [(i, " ".join(f"b{rng.randrange(40)}" for _ in range(20))) for i in range(8)]
     docs = [(i, " ".join([f"c{i}"] * 5 + bench[i % 8][1].split()[i % 7 :] + bench[(i + 3) % 8][1].split()[:9])) for i in range(12)]
     compare(spark, docs, bench)
+    seeds = D.items_of(spark.createDataFrame(bench, "item_id long, text string")).selectExpr("explode(seeds) AS seed")
+    df = spark.createDataFrame([*docs, (99, "nothing of it at all here " * 9)], "doc_id long, text string")
+    assert {r.doc_id for r in D.candidates(df, D.bloom(seeds, 3)).collect()} == set(range(12)) | {99} and 99 not in {r.doc_id for r in D.candidates(df, D.bloom(seeds)).collect()}
+
+
+@pytest.mark.parametrize("seeds", [1, 50, 1 << 20])
+def test_ranges_of_diagonals(monkeypatch, seeds):
+    monkeypatch.setattr(D, "SEEDS", seeds)
+    test_tiles()
+
+
+def test_many_equal_words():
+    """20,000 equal words against an item of 1,000: all seed pairs would be some 20 million."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert D.tile(np.full(20_000, 7, np.uint64), np.full(1000, 7, np.uint64)) == [(0, 0, 1000)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_short_and_unspaced_items(spark):
+    """An item of few words is found where it is the whole text; scripts without spaces are tiled by letters."""
+    bench = [(1, "Yes, sir"), (2, "今日は天気がいいですね"), (3, "« Où est la gare — demanda-t-il »")]
+    docs = [(1, "yes sir!"), (2, "yes sir no sir"), (3, "はい。今日は天気がいいですね。本当に"), (4, "où est la gare，demanda t il"), (5, "今日は雨が降る"), (None, "Yes sir"), (6, "word " * 30_000)]
+    got = {r.doc_id: r for r in D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert [got[i].contaminated for i in (1, 2, 3, 4, 5, 6)] == [True, False, True, True, False, False] and got[3].item_id == 2 and got[4].coverage == 1
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x")], "doc_id long, text string, row int, words string").selectExpr("*", "row AS item_id", "words AS seeds", "row AS coverage")
+    bench = spark.createDataFrame([(3, "a b c d e f", 5)], "item_id long, text string, doc_id int")
+    assert [tuple(r) for r in D.decontaminate(docs, bench).collect()] == [(1, 1.0, 3, 1, True)]
 
 
 @pytest.mark.parametrize("bench", [[], [(1, "a b")]])
