@@ -2,15 +2,18 @@
 
 Blocks go to sources by the highest quotients target / (2k + 1), and a
 source's blocks to its shards by the highest quotients of the shards' sizes.
-A shard's documents stand in a seeded order and form one stream of words; from
-a seeded block on, the shard's quota is taken round the stream, whole rounds
-first. So every count is an integer, shards are independent tasks, and a hot
-source has many shards.
+A shard's documents stand in a seeded order and form one stream of words, cut
+into blocks of DRAWN words; of these as many are drawn, by a seeded
+permutation, as the shard's quota needs after whole rounds, and of the next
+one the words that are left. So every count is an integer, shards are
+independent tasks, and a hot source has many shards.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SHARD_WORDS = 200_000
 MAX_SHARDS = 1 << 16  # bounds what the driver sees besides a row for each source
 MOST = 3  # times a source's size
+DRAWN = 1024  # words of a block of a shard's stream
+FINE = 100  # blocks that the smallest target has at least, so far as blocks have words
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST) -> list[float]:
@@ -67,9 +72,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), block: int
     Sources by code point, null last as a source of its own; weights repeat.
     The targets share all words; none is above `most` times its source.
     taken: the words that the mix takes of this row, repeats counted, at most
-    `most` times its size. block: words of a block, 0: a 65,536th of all words,
-    at least 1 and at most 1024. Repeated rows are rows of their own; an empty
-    table gives an empty one. Reruns give the same.
+    `most` times its size. block: words of a block of the quotas, 0: a 65,536th
+    of all words or a hundredth of the smallest target, whichever is less, at
+    least 1 and at most 1024. Repeated rows are rows of their own; an empty
+    table gives an empty one. Reruns give the same. A very long text is as
+    many blocks as it takes.
 
     The driver gets one row for each source and for each shard (at most
     MAX_SHARDS more than sources).
@@ -82,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), block: int
     sizes = [found[x] for x in names]
     total = sum(sizes)
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most)
-    block = block or max(1, min(1024, total // 65536))
+    block = block or max(1, min(1024, total // 65536, int(min((g for g in goal if g > 0), default=0)) // FINE))
     quota = sainte_lague(goal, round(total / block))
     each = max(SHARD_WORDS, total // MAX_SHARDS)
     shards = [max(1, -(-x // each)) for x in sizes]
@@ -102,16 +109,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), block: int
             words_of[k] += more
             left -= more
             s, words = own[k], words_of[k]
-            rows.append((i, k, s, words // s if s else 0, words % s if s else 0))
-    quotas = spark.createDataFrame(rows, "_i int, _k int, _size long, _rounds long, _rest long")
+            rounds, rest = divmod(words, s) if s else (0, 0)
+            rows.append((i, k, rounds, rest, *_draw(i, k, s // DRAWN, seed)))
+    quotas = spark.createDataFrame(rows, "_i int, _k int, _rounds long, _rest long, _blocks long, _step long, _from long")
     run = Window.partitionBy("_i", "_k").orderBy("_h", "_d", "_t").rowsBetween(Window.unboundedPreceding, 0)
     at = placed.withColumn("_e", F.sum("size").over(run)).withColumn("_b", F.col("_e") - F.col("size")).join(quotas, ["_i", "_k"])
-    # the rest goes from a seeded block on, round the end of the stream
-    at = at.withColumn("_o", F.expr(f"if(_size = 0, 0L, pmod(xxhash64({int(seed)}, _i, _k), greatest(1L, _size div {block})) * {block})"))
-    part = F.expr("greatest(0L, least(_e, _o + _rest) - greatest(_b, _o)) + greatest(0L, least(_e, _o + _rest - _size) - _b)")
+    # a block's place in the seeded order; the words beyond the last whole block come after all blocks
+    place = "if(x < _blocks, pmod(_step * x + _from, greatest(_blocks, 1L)), _blocks)"
+    until = f"least(_e, x * {DRAWN} + greatest(0L, if(x < _blocks, least({DRAWN}L, _rest - {place} * {DRAWN}), _rest - _blocks * {DRAWN})))"
+    part = F.expr(f"if(size = 0 or _rest = 0, 0L, aggregate(sequence(_b div {DRAWN}, least(_blocks, (_e - 1) div {DRAWN})), 0L, (a, x) -> a + greatest(0L, {until} - greatest(_b, x * {DRAWN}))))")
     return at.select(F.col("_d").alias("doc_id"), F.col("_t").alias("text_hash"), F.col("_s").alias("source"), "size", "source_size", "target", (F.col("_rounds") * F.col("size") + part).alias("taken"))
 
 
+def _draw(source: int, shard: int, blocks: int, seed: int) -> tuple[int, int, int]:
+    """(blocks, step, from): block x stands at (step * x + from) mod blocks in a shard's seeded order."""
+    rng = random.Random(f"{seed}:{source}:{shard}")
+    step = 1
+    if blocks > 2:
+        while math.gcd(step := rng.randrange(1, blocks), blocks) > 1:
+            pass
+    return blocks, step, rng.randrange(max(blocks, 1))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: mixes all documents with the weights 1, 2, 3."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")

@@ -78,3 +78,44 @@ def test_shards(spark, monkeypatch):
         got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=block).collect()
         for taken, target in promises(got):
             assert abs(taken - target) <= max(1, block)
+
+
+def test_small_sources_get_their_words(spark):
+    """A source that is a millionth of another still takes what its target says."""
+    rows = [(i, "w " * 20000, "big") for i in range(100)] + [(1000, "v " * 100, "small"), (1001, "u u u", "tiny")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {r.source: [sum(x.taken for x in got if x.source == r.source), r.target] for r in got}
+    assert by["small"][1] == 300 and abs(by["small"][0] - 300) <= 3 and by["tiny"] == [9, 9]
+
+
+def test_drawn_blocks(spark, monkeypatch):
+    """taken by marking every word of every drawn block."""
+    monkeypatch.setattr(mixing, "DRAWN", 8)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 150)
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 8, 9, 40]), rng.choice("aab")) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    order = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(42, doc_id, xxhash64(text)) AS h").collect()}
+    size = {d: len(t.split()) for d, t, _ in rows}
+    shards = {}
+    for i, source in enumerate(sorted({s for _, _, s in rows})):
+        own = [d for d, _, s in rows if s == source]
+        n = max(1, -(-sum(size[d] for d in own) // 150))
+        for d in own:
+            shards.setdefault((i, order[d] % n), []).append(d)
+    for (i, k), own in shards.items():
+        own.sort(key=lambda d: order[d])
+        words = [d for d in own for _ in range(size[d])]
+        rounds, rest = divmod(sum(got[d].taken for d in own), len(words)) if words else (0, 0)
+        blocks, step, first = mixing._draw(i, k, len(words) // 8, 42)
+        at = sorted(range(blocks), key=lambda x: (step * x + first) % blocks) + [blocks]
+        assert len(set(at)) == blocks + 1
+        drawn = [w for x in at for w in words[8 * x : 8 * (x + 1)]][:rest]
+        for d in own:
+            assert got[d].taken == rounds * size[d] + drawn.count(d), (i, k, d)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5, "q")], "doc_id long, text string, source string, size int, _d string").selectExpr("*", "size AS taken", "_d AS _s", "size AS target")
+    assert [tuple(r)[2:] for r in mixing.mix(df).collect()] == [("x", 2, 2, 2.0, 2)]
