@@ -3,8 +3,12 @@
 A file is token ids back to back, an end-of-document id after each document,
 and no index. It is read in blocks that know nothing of documents. Each block
 is searched for the id as a whole array; a prefix scan over the blocks of a
-file then gives each block the documents before it and the tokens that its
-first document has in earlier blocks.
+file, in two levels, then gives each block the documents before it and the
+tokens that its first document has in earlier blocks.
+
+The query writes such files with Spark's own text writer, one value a file, so
+they can lie in any file system that Spark has; the writer's line end, one
+byte, is no whole token. The vocabulary file must be there on every executor.
 """
 
 from __future__ import annotations
@@ -18,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, keep, table
+from .common import batches, keep, shared_dir, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 #: Fixed value: the pattern that splits a text before byte-pair merges in this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1 << 18  # tokens
+RUN = 1024  # blocks of one run of the first level
+FILE = 1 << 22  # tokens of a file, from which a new one begins after a document: 8 MB
 NULL_ID = -(1 << 63)  # stands for a null doc_id in a side list
 _encoders: dict[str, object] = {}
 
@@ -40,36 +46,56 @@ def encoder(path: str = VOCABULARY):
     return _encoders[path]
 
 
-def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, block: int = BLOCK) -> DataFrame:
-    """Tokenises docs (doc_id, text) to flat files, one for each partition: (file, block, tokens, ids).
+def write_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, size: int = FILE) -> None:
+    """Tokenises docs (doc_id, text) to flat files below a path, in folders kind=tokens/file=n and kind=ids/file=n.
 
-    tokens: little-endian uint16 ids of one block, cut without regard to
-    documents. ids: the file's side list, the int64 doc_ids in the order of
-    the documents, in rows with null tokens where `block` is the place of the
-    first. Null text: no token, its end id alone. Null doc_id: NULL_ID.
+    tokens: little-endian uint16 ids. ids: the side list, the int64 doc_ids in
+    the order of the documents. A partition's documents go to one file until
+    it has `size` tokens, then to the next. Null and empty texts: their end id
+    alone. Null doc_id: NULL_ID. Repeated rows are documents of their own;
+    other columns don't matter.
     """
 
     def run(it):
-        encode, file, at, listed = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId(), 0, 0
-        held, n = [], 0
+        encode, file = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId() << 24
+        held, ids, n = [], [], 0
+
+        def out():
+            return {"kind": ["tokens", "ids"], "file": [file, file], "data": [np.concatenate(held).tobytes(), np.array(ids, "<i8").tobytes()]}
+
+        for b in it:
+            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+                held.append(np.array([*encode(text or ""), end], "<u2"))
+                ids.append(NULL_ID if doc is None else doc)
+                n += len(held[-1])
+                if n >= size:
+                    yield out()
+                    held, ids, n, file = [], [], 0, file + 1
+        if ids:
+            yield out()
+
+    files = batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "kind string, file long, data binary")
+    files.select("kind", "file", F.col("data").cast("string").alias("value")).write.partitionBy("kind", "file").text(path)
+
+
+def written(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(file, content) of the files of one kind that write_files wrote, read whole by Spark: they are small."""
+    found = spark.read.format("binaryFile").load(path)
+    if "kind" not in found.columns:  # no document, no file
+        return spark.createDataFrame([], "file long, content binary")
+    return found.where(F.col("kind") == kind).select(F.col("file").cast("long"), "content")
+
+
+def cut(files: DataFrame, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """(file, block, tokens) of whole files (file, content) in blocks of `block` tokens. Bytes beyond the last whole token are left out."""
+
+    def run(it):
         for b in it:
-            for text in b["text"].to_pylist():
-                x = np.array([*encode(text or ""), end], "<u2")
-                held.append(x)
-                n += len(x)
-                if n >= block:
-                    x = np.concatenate(held)
-                    full = len(x) // block
-                    yield {"file": [file] * full, "block": list(range(at, at + full)), "tokens": [x[i * block : (i + 1) * block].tobytes() for i in range(full)], "ids": [None] * full}
-                    held, at = [x[full * block :]], at + full
-                    n = len(held[0])
-            ids = np.array([NULL_ID if x is None else x for x in b["doc_id"].to_pylist()], "<i8")
-            yield {"file": [file], "block": [listed], "tokens": [None], "ids": [ids.tobytes()]}
-            listed += len(ids)
-        if n:
-            yield {"file": [file], "block": [at], "tokens": [np.concatenate(held).tobytes()], "ids": [None]}
-
-    return batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "file long, block long, tokens binary, ids binary")
+            for file, x in zip(b["file"].to_pylist(), b["content"].to_pylist()):
+                n = -(-(len(x) // width) // block)
+                yield {"file": [file] * n, "block": list(range(n)), "tokens": [x[i * block * width : min((i + 1) * block, len(x) // width) * width] for i in range(n)]}
+
+    return batches(files.select("file", "content"), run, "file long, block long, tokens binary")
 
 
 def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -122,14 +148,25 @@ def scan(blocks: DataFrame, end: int = END, kind: str = "<u2") -> DataFrame:
             yield {"file": b["file"], "block": b["block"], "n": n, "seps": seps, "head": head, "tail": tail, "inner": inner}
 
     found = batches(blocks.select("file", "block", "tokens").where("tokens is not null"), search, f"file {name}, block long, n long, seps long, head long, tail long, inner binary")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    scanned = (
-        found.withColumn("first", F.coalesce(F.sum("seps").over(before), F.lit(0).cast("long")))
-        .withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
-        .withColumn("_open", F.when(F.col("seps") > 0, F.col("at") + F.col("n") - F.col("tail")))  # where the document after the last end begins
-        .withColumn("carry", F.col("at") - F.coalesce(F.max("_open").over(before), F.lit(0).cast("long")))
-        .withColumn("last", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
-    )
+    found = keep(found.withColumn("run", F.expr(f"block div {RUN}")))  # the blocks are read once
+    # within a run: tokens and documents before each block, and where the document after the last end before it begins
+    inside = Window.partitionBy("file", "run").orderBy("block")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    own = found.drop("inner").withColumn("_at", F.coalesce(F.sum("n").over(before), zero)).withColumn("_first", F.coalesce(F.sum("seps").over(before), zero))
+    own = own.withColumn("_open", F.when(F.col("seps") > 0, F.col("_at") + F.col("n") - F.col("tail")))
+    # over a file's runs the same, from a row a run
+    runs = own.groupBy("file", "run").agg(F.sum("n").alias("n"), F.sum("seps").alias("seps"), F.max("_open").alias("open"))
+    along = Window.partitionBy("file").orderBy("run")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("run_at", F.coalesce(F.sum("n").over(earlier), zero)).withColumn("run_first", F.coalesce(F.sum("seps").over(earlier), zero))
+    runs = runs.withColumn("run_open", F.max(F.col("run_at") + F.col("open")).over(earlier)).withColumn("run_last", F.lead("run").over(along).isNull())
+    own = own.withColumn("_before", F.max("_open").over(before)).withColumn("_last", F.lead("block").over(inside).isNull())
+    at = F.col("run_at") + F.col("_at")
+    scanned = own.join(runs.select("file", "run", "run_at", "run_first", "run_open", "run_last"), ["file", "run"]).select(
+        "file", "block", (F.col("run_first") + F.col("_first")).alias("first"), (at - F.coalesce(F.col("run_at") + F.col("_before"), "run_open", zero)).alias("carry"), (F.col("run_last") & F.col("_last")).alias("last"),
+    )
+    scanned = found.join(scanned, ["file", "block"])
 
     def stitch(it):
         for b in it:
@@ -151,14 +188,16 @@ def scan(blocks: DataFrame, end: int = END, kind: str = "<u2") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: writes all documents as token files to the shared folder, scans them, names the documents by the side lists."""
-    stored = keep(write_blocks(table(spark, sf_dir, "documents")))
+    """op8: writes all documents as flat token files to the shared folder, scans them, names the documents by the side lists."""
+    path = shared_dir(spark)
+    write_files(table(spark, sf_dir, "documents"), path)
 
     def listed(it):
         for b in it:
-            for file, first, ids in zip(*(b[x].to_pylist() for x in ("file", "block", "ids"))):
-                x = np.frombuffer(ids, "<i8")
-                yield {"file": [file] * len(x), "document": range(first, first + len(x)), "doc_id": x}
+            for file, ids in zip(b["file"].to_pylist(), b["content"].to_pylist()):
+                x = np.frombuffer(ids[: len(ids) // 8 * 8], "<i8")
+                yield {"file": [file] * len(x), "document": range(len(x)), "doc_id": x}
 
-    ids = batches(stored.where("ids is not null").select("file", "block", "ids"), listed, "file long, document long, doc_id long")
-    return ids.join(scan(stored), ["file", "document"]).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_tokens")
+    ids = batches(written(spark, path, "ids"), listed, "file long, document long, doc_id long")
+    counts = scan(cut(written(spark, path, "tokens")))
+    return ids.join(counts, ["file", "document"]).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_tokens")

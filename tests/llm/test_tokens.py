@@ -11,13 +11,21 @@ def test_documents(spark, small):
     assert got == {r.doc_id: len(e.encode_ordinary(r.text)) for r in docs.select("doc_id", "text").collect()}
 
 
-def test_small_blocks_and_odd_texts(spark):
+def test_small_blocks_and_odd_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 3)
     rows = [(1, None), (2, ""), (3, "<|endoftext|> plain"), (4, "x " * 5000), (None, "a"), (5, "é" * 300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    blocks = tokens.write_blocks(df, block=7)
     e = tokens.encoder()
-    got = [(r.document, r.n_tokens, r.ended) for r in tokens.scan(blocks).orderBy("document").collect()]
-    assert got == [(i, len(e.encode_ordinary(t or "")), True) for i, (_, t) in enumerate(rows)]
+    for name, size in (("one", 1 << 20), ("several", 4)):
+        tokens.write_files(df, f"file://{tmp_path}/{name}", size=size)
+        blocks = tokens.cut(tokens.written(spark, f"file://{tmp_path}/{name}", "tokens"), block=7)
+        got = [(r.n_tokens, r.ended) for r in tokens.scan(blocks).orderBy("file", "document").collect()]
+        assert got == [(len(e.encode_ordinary(t or "")), True) for _, t in rows]
+
+
+def test_clashing_names_and_repeated_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "a b", 3, 4)] * 2, "doc_id long, text string, file int, n_tokens int").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in tokens.query(spark, str(tmp_path)).collect()] == [(1, 2), (1, 2)]
 
 
 def test_null_ids(spark, tmp_path):
@@ -25,7 +33,8 @@ def test_null_ids(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in tokens.query(spark, str(tmp_path)).collect()} == {None: 2, -1: 1}
 
 
-def test_flat_files(spark, tmp_path):
+def test_flat_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 4)
     rng = np.random.default_rng(1)
     want = {}
     for name, sizes, rest in (("a.bin", [0, 0, 5, 1, 400, 3], 0), ("b.bin", rng.integers(0, 90, 60).tolist(), 11), ("c.bin", [], 9), ("d.bin", [], 0)):
@@ -39,5 +48,6 @@ def test_flat_files(spark, tmp_path):
         assert got == {k: v for k, v in want.items() if v}
 
 
-def test_empty(spark):
-    assert tokens.scan(tokens.write_blocks(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert tokens.query(spark, str(tmp_path)).count() == 0
