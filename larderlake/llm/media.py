@@ -25,7 +25,14 @@ _HEAD = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([0-9]+)")
 
 
 def decode(data: bytes) -> np.ndarray:
-    """An image from Netpbm (P1 to P6) or BMP (1, 4, 8, 24 or 32 bits, uncompressed). Raises ValueError."""
+    """An image from Netpbm (P1 to P6) or BMP (1, 4, 8, 16, 24 or 32 bits, uncompressed, with colour masks or without). Raises ValueError."""
+    try:
+        return _decode(data)
+    except (struct.error, OverflowError) as e:
+        raise ValueError(f"bad number or short header: {e}") from e
+
+
+def _decode(data: bytes) -> np.ndarray:
     if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
         return _netpbm(data)
     if data[:2] == b"BM":
@@ -73,7 +80,7 @@ def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise ValueError("short header")
     at, size, w, h, _, bits, packed = struct.unpack_from("<4xI", data, 6)[0], *struct.unpack_from("<IiiHHI", data, 14)
-    if packed not in (0, 3) or w <= 0 or h == 0 or bits not in (1, 4, 8, 24, 32):
+    if packed not in (0, 3) or w <= 0 or h == 0 or bits not in (1, 4, 8, 16, 24, 32) or (packed == 3 and bits not in (16, 32)):
         raise ValueError("unsupported BMP")
     row, n = (w * bits + 31) // 32 * 4, abs(h)
     if len(data) < at + row * n:
@@ -81,6 +88,9 @@ def _bmp(data: bytes) -> np.ndarray:
     x = np.frombuffer(data, np.uint8, row * n, at).reshape(n, row)
     if h > 0:
         x = x[::-1]
+    if packed == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packed == 3 else (0x7C00, 0x3E0, 0x1F)
+        return _masked(np.ascontiguousarray(x[:, : w * bits // 8]).view(f"<u{bits // 8}"), masks)
     if bits >= 24:
         return np.ascontiguousarray(x[:, : w * bits // 8].reshape(n, w, bits // 8)[:, :, 2::-1])
     if bits < 8:
@@ -94,6 +104,19 @@ def _bmp(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(colours[x][:, :, 2::-1])
 
 
+def _masked(pixels: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """The bits of each colour's mask, scaled to 255 and rounded half up; no mask: 0."""
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for k, mask in enumerate(masks):
+        if mask:
+            shift = (mask & -mask).bit_length() - 1
+            top = mask >> shift
+            if top & (top + 1):
+                raise ValueError("a colour mask with gaps")
+            out[:, :, k] = (((pixels.astype(np.int64) & mask) >> shift) * 510 + top) // (2 * top)
+    return out
+
+
 def ppm(image: np.ndarray) -> bytes:
     """P6 or P5 bytes of an image."""
     h, w, c = image.shape
@@ -154,7 +177,7 @@ def media_tiles(df: DataFrame, column: str, height: int = 32, width: int = 32) -
                     try:
                         image = decode(x)
                         tile, digest = npy(area_resize(image, height, width)), difference_hash(image)
-                    except (ValueError, struct.error) as e:
+                    except ValueError as e:
                         error = str(e)
                 tiles.append(tile), hashes.append(digest), errors.append(error)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tiles, pa.binary()), pa.array(hashes, pa.string()), pa.array(errors, pa.string())], names=[*b.schema.names, "media_tile", "media_hash", "media_error"])
@@ -169,7 +192,11 @@ def payload(text: str | None) -> bytes:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as a PPM of 64 pixels a row, losslessly. Null text: empty."""
+    """(doc_id, n_bytes, media): each whole text as a PPM of 64 pixels a row, losslessly.
+
+    Null and empty texts: one row of spaces. A very long text is one tall
+    image. Null doc_ids and repeated rows stay; other columns don't matter.
+    """
 
     def run(it):
         for b in it:

@@ -106,3 +106,57 @@ def test_query(spark, small):
     docs = {r.doc_id: r.text for r in spark.read.parquet(small + "/documents.parquet").collect()}
     got = query(spark, small).collect()
     assert {r.doc_id: r.n_bytes for r in got} == {k: len(v.encode()) for k, v in docs.items()}
+
+
+@pytest.mark.parametrize("data", [b"P2 1 1 255 99999999999999999999999", b"P3 99999999999999999999 1 255 1", b"P5 1 1 99999999999999999999999\n1"])
+def test_huge_numbers(data):
+    with pytest.raises(ValueError):
+        media.decode(data)
+
+
+def masked(masks, bits, pixels, compression=3):
+    rows = b"".join(r + b"\0" * (-len(r) % 4) for r in (x.astype(f"<u{bits // 8}").tobytes() for x in pixels[::-1]))
+    h, w = pixels.shape
+    more = struct.pack("<III", *masks) if compression == 3 else b""
+    at = 54 + len(more)
+    return b"BM" + struct.pack("<IHHI", at + len(rows), 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, compression, len(rows), 0, 0, 0, 0) + more + rows
+
+
+def test_bmp_masks():
+    pixel = np.array([[10 | 20 << 8 | 30 << 16]])
+    assert media.decode(masked((0xFF, 0xFF00, 0xFF0000), 32, pixel)).tolist() == [[[10, 20, 30]]]
+    assert media.decode(masked((0xFF0000, 0xFF00, 0xFF), 32, pixel)).tolist() == [[[30, 20, 10]]]
+    x = RNG.integers(0, 1 << 16, (3, 5))
+    scaled = lambda v, top: (v * 510 + top) // (2 * top)
+    assert (media.decode(masked((0xF800, 0x7E0, 0x1F), 16, x)) == np.stack([scaled(x >> 11, 31), scaled(x >> 5 & 63, 63), scaled(x & 31, 31)], 2)).all()
+    assert (media.decode(masked((0,) * 3, 16, x, 0)) == np.stack([scaled(x >> 10 & 31, 31), scaled(x >> 5 & 31, 31), scaled(x & 31, 31)], 2)).all()
+    with pytest.raises(ValueError):
+        media.decode(masked((0xF0F, 0, 0), 32, pixel))
+
+
+def test_feature_of_texts(spark):
+    """Difference hash and tile of texts, by the area of each target pixel in exact fractions."""
+    from fractions import Fraction
+
+    def resized(image, height, width):
+        h, w, c = image.shape
+        out = np.zeros((height, width, c), np.uint8)
+        for i in range(height):
+            for j in range(width):
+                y0, y1, x0, x1 = Fraction(i * h, height), Fraction((i + 1) * h, height), Fraction(j * w, width), Fraction((j + 1) * w, width)
+                ys = [(y, min(y1, y + 1) - max(y0, y)) for y in range(int(y0), -int(-y1 // 1))]
+                xs = [(x, min(x1, x + 1) - max(x0, x)) for x in range(int(x0), -int(-x1 // 1))]
+                for k in range(c):
+                    out[i, j, k] = int(sum(int(image[y, x, k]) * a * b for y, a in ys for x, b in xs) / ((y1 - y0) * (x1 - x0)) + Fraction(1, 2))
+        return out
+
+    rows = [(1, "some text of an image, repeated " * 30), (2, None), (3, "é漢" * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in media.media_digests(media.text_media(df)).collect()}
+    for d, t in rows:
+        image = np.frombuffer(media.payload(t), np.uint8).reshape(-1, 64, 3)
+        grey = (image.astype(np.int64) @ np.array([299, 587, 114]) // 1000).astype(np.uint8)[:, :, None]
+        small = resized(grey, 8, 9)[:, :, 0]
+        tile = io.BytesIO()
+        np.lib.format.write_array(tile, resized(image, 32, 32), version=(1, 0))
+        assert got[d] == f"{np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()}:{zlib.crc32(tile.getvalue()):08x}"
