@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import functions as F
 
@@ -12,15 +13,20 @@ from .operators.read import Query, Scan
 from .sources import io as IO
 
 
-def show(df, form: str) -> str:
-    if form == "json":
-        return IO.pretty_json(df)
+def show(df, form: str) -> Iterator[str]:
+    """The lines of all rows."""
     if form == "jsonl":
-        return "\n".join(r[0] for r in IO.json_lines(df).toLocalIterator())
-    return IO.csv_text(df) if form == "csv" else IO.table_text(df)
+        return (r[0] for r in IO.json_lines(df).toLocalIterator())
+    return {"json": IO.pretty_json_lines, "csv": IO.csv_lines, "table": IO.table_lines}[form](df)
 
 
 def main(args: list[str], spark=None) -> str:
+    """What a call prints, as one text."""
+    return "\n".join(lines(args, spark))
+
+
+def lines(args: list[str], spark=None) -> Iterator[str]:
+    """What a call prints, a line at a time: all rows, however many there are. --limit is the only bound."""
     p = argparse.ArgumentParser(prog="larderlake")
     p.add_argument("table")
     p.add_argument("--format", choices=("table", "json", "jsonl", "csv"), default="table")
@@ -46,23 +52,23 @@ def main(args: list[str], spark=None) -> str:
         spark = SparkSession.builder.appName("larderlake").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "create":
         Database.create(spark, a.table)
-        return "created"
+        return iter(["created"])
     db = Database.open(spark, a.table)
     if a.command == "put":
         db.put((a.pk, a.sk), IO.parse_item(a.item))
-        return "ok"
+        return iter(["ok"])
     if a.command == "delete":
         db.delete((a.pk, a.sk))
-        return "ok"
+        return iter(["ok"])
     if a.command == "get":
         return show(db._live(db._partition([a.pk])).where(F.col("sk").eqNullSafe(F.lit(a.sk))).select("pk", "sk", "attrs"), a.format)
     if a.command in ("stats", "compact"):
-        return "\n".join(f"{k}: {v}" for k, v in getattr(db, a.command)().items())
+        return iter([f"{k}: {v}" for k, v in getattr(db, a.command)().items()])
     if a.command == "stream":
-        return "\n".join(f"{r.seq} {r.op} {r.pk} {r.sk or ''}".rstrip() for r in db.stream(a.after).toLocalIterator())
+        return (f"{r.seq} {r.op} {r.pk} {r.sk or ''}".rstrip() for r in db.stream(a.after).toLocalIterator())
     if a.command == "sql":
         r = db.execute(a.statement)
-        return show(r.page.df, a.format) if r.page else r.kind
+        return show(r.page.df, a.format) if r.page else iter([r.kind])
     if a.command == "scan":
         return show(db.scan(Scan(a.limit)).df, a.format)
     q = Query(a.pk).forward(not a.reverse)
@@ -72,4 +78,5 @@ def main(args: list[str], spark=None) -> str:
 
 
 if __name__ == "__main__":
-    print(main(sys.argv[1:]))
+    for x in lines(sys.argv[1:]):
+        print(x)

@@ -119,7 +119,10 @@ def query(table, q: Query, now: float | None = None, where: Column | None = None
     t = as_table(table)
     mode = t.spec.key_order
     if q.index_name:
-        df = index_view(t, t.spec.index(q.index_name)).where(F.col("pk") == F.lit(q.pk))
+        ix = t.spec.index(q.index_name)
+        # a local index has the table's pk, so its partition alone is read
+        base = t if ix.pk is not None else ItemTable(t.where_pk([q.pk]), t.spec)
+        df = index_view(base, ix).where(F.col("pk") == F.lit(q.pk))
         sort = [F.col("sk"), F.col("base_pk"), F.col("base_sk")]
         sort = [c.asc_nulls_first() if q.is_forward else c.desc_nulls_last() for c in sort]
         bound = None if q.after is None else (F.col("sk") > F.lit(q.after[1])) if q.is_forward else (F.col("sk") < F.lit(q.after[1]))
@@ -165,6 +168,13 @@ def key_rows(spark: SparkSession, wanted: Iterable) -> DataFrame:
 
 
 _SAME = "pk = __pk and sk <=> __sk"
+LISTED = 10_000  # keys in a list up to which the scan gets them as a condition
+
+
+def _of_keys(t: ItemTable, wanted) -> DataFrame:
+    """The table's rows, of the partitions of a list of keys alone."""
+    pks = list(dict.fromkeys(k[0] if isinstance(k, tuple) else k for k in wanted)) if not isinstance(wanted, DataFrame) else []
+    return t.where_pk(pks) if 0 < len(pks) <= LISTED else t.df
 
 
 def batch_get(table, wanted: DataFrame | list, now: float | None = None) -> DataFrame:
@@ -174,15 +184,16 @@ def batch_get(table, wanted: DataFrame | list, now: float | None = None) -> Data
     the size of either and sends it to the tasks only if it is small.
     """
     t = as_table(table)
+    wanted = wanted if isinstance(wanted, DataFrame) else list(wanted)
     w = (key_rows(t.df.sparkSession, wanted) if not isinstance(wanted, DataFrame) else wanted).select(F.col("pk").alias("__pk"), F.col("sk").alias("__sk")).distinct()
-    return _standing(t.df, t, now).join(w, F.expr(_SAME), "left_semi")
+    return _standing(_of_keys(t, wanted), t, now).join(w, F.expr(_SAME), "left_semi")
 
 
 def txn_get(table, wanted: list, now: float | None = None) -> DataFrame:
     """A row for each key in the order given (`at`), found or not: `found`, and the item's columns or nulls."""
     t = as_table(table)
     w = key_rows(t.df.sparkSession, wanted).toDF("__at", "__pk", "__sk")
-    df = _standing(t.df, t, now)
+    df = _standing(_of_keys(t, wanted), t, now)
     rest = [f"`{c}`" for c in df.columns if c not in ("pk", "sk")]
     out = w.join(df, F.expr(_SAME), "left")
     return out.select(F.col("__at").alias("at"), F.col("__pk").alias("pk"), F.col("__sk").alias("sk"), F.col("pk").isNotNull().alias("found"), *rest).orderBy("at")

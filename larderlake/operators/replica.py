@@ -31,18 +31,23 @@ def leaves(df: DataFrame, keys=KEYS, value: Column | None = None) -> DataFrame:
 def merkle_levels(hashed: DataFrame, keys=KEYS, fan_out: int = 16, buckets: int = 4096) -> DataFrame:
     """(level, node, hash): a tree over buckets of the key space, level 0 at the leaves' buckets, one root at the top.
 
-    A bucket is part of the key's hash, so equal tables have equal trees and
-    a change touches one path. The hash of a node is of its children's, in
-    order. fan_out: 2 at least.
+    A bucket is part of the key's SHA-256, so equal tables have equal trees
+    and a change touches one path. Its hash is of the number of its leaves and
+    the sums of both halves of their hashes: no bucket is gathered, whatever
+    its size. The hash of a higher node is of its children's, in order.
+    fan_out: 2 at least.
     """
     if fan_out < 2:
         raise InvalidArgument("a tree needs a fan-out of 2 or more")
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
-    level = hashed.groupBy(bucket.alias("node")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), ""), 256).alias("hash"))
+    key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+    number = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("decimal(38,0)")
+    bucket = F.pmod(number(F.sha2(key, 256), 1, 12).cast("long"), F.lit(buckets))
+    sums = [F.sum(number("hash", at, 15)).cast("string") for at in (1, 33)]
+    level = hashed.groupBy(bucket.alias("node")).agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("hash"))
     out, n, i = level.select(F.lit(0).alias("level"), "node", "hash"), buckets, 0
     while n > 1:
         n, i = -(-n // fan_out), i + 1
-        pairs = F.array_sort(F.collect_list(F.struct("node", "hash")))
+        pairs = F.array_sort(F.collect_list(F.struct("node", "hash")))  # fan_out at most
         level = level.groupBy(F.expr(f"node div {fan_out}").alias("up")).agg(F.sha2(F.array_join(F.transform(pairs, lambda x: F.concat(x["node"].cast("string"), x["hash"])), ""), 256).alias("hash")).withColumnRenamed("up", "node")
         out = out.union(level.select(F.lit(i).alias("level"), "node", "hash"))
     return out

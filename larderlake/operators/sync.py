@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..database import Database
 from ..errors import InvalidArgument
 from ..functions import values as V
+from ..functions.shared import forget, shared_dir
 from . import log as L
 from .replica import _outer
 
@@ -51,7 +52,9 @@ def synchronise(local: Database, remote: Database, strategy: str | Callable[[Dat
     """
     if direction not in DIRECTIONS:
         raise InvalidArgument(f"direction {direction!r}")
-    diff = pending(local, remote).cache()
+    path = shared_dir(local.spark)
+    pending(local, remote).write.option("compression", "zstd").parquet(path)  # survives lost executors, and both sides are read once
+    diff = local.spark.read.parquet(path)
     try:
         side = lambda p: [F.col(p + c).alias(c) for c in ("deleted", "at", "attrs")]
         only_l, only_r, both = (diff.where(F.col("kind") == k) for k in ("LocalOnly", "RemoteOnly", "Modified"))
@@ -77,7 +80,7 @@ def synchronise(local: Database, remote: Database, strategy: str | Callable[[Dat
         pull = only_r.select("pk", "sk", *side("r_")).unionByName(won)
         out = {"pushed": remote.append(push) if direction != "pull" else 0, "pulled": local.append(pull) if direction != "push" else 0, "conflicts": counts.get("Modified", 0), "unresolved": unresolved}
     finally:
-        diff.unpersist()
+        forget(local.spark, path)
     record(local, peer, out | {"at": local.now(), "local_commit": local.head()["commit"], "remote_commit": remote.head()["commit"]})
     return out
 

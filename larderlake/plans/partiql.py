@@ -450,6 +450,17 @@ def route(s: Select) -> str:
     return "scan"
 
 
+def listed_keys(s: Select) -> list[str] | None:
+    """The pks that a statement names by = or IN, as text; None where it names none."""
+    for p in _parts(s.where):
+        if isinstance(p, E.Compare) and p.op == "=" and p.left == E.Path("pk") or isinstance(p, E.Within) and p.path == E.Path("pk"):
+            p = _as_key(p, False)
+            values = [p.right.value] if isinstance(p, E.Compare) else [o.value for o in p.options]
+            if all(isinstance(v, str) for v in values):
+                return list(dict.fromkeys(values))
+    return None
+
+
 def run_select(s: Select, table: ItemTable | DataFrame, now: float | None = None, limit_before_filter: bool = False, keys_too: bool = False) -> Page:
     """The rows of a SELECT.
 

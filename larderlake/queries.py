@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import keys as K
+from . import stored_queries
 from .functions import values as V
 from .model import AttributeSchema, IndexSpec, TableSpec
 from .operators import apps, index, log, read, replica, ttl, validate, write
@@ -47,7 +47,7 @@ add("scan_limit", lambda s, d: read.scan(C.orders(s, d), Scan().limit(25)).df, f
 add("scan_page", lambda s, d: read.scan(C.orders(s, d), Scan().start_after("85", "5").limit(10)).df, f"SELECT * FROM {ORDERS} WHERE pk > '85' OR (pk = '85' AND sk > '5') ORDER BY pk, sk LIMIT 10")
 add("scan_page_encoded", lambda s, d: read.scan(C.orders_by_id(s, d, TableSpec(key_order="encoded")), Scan().start_after("95").limit(10)).df,
     f"SELECT * FROM {BY_ID} WHERE strlen(pk) > 2 OR (strlen(pk) = 2 AND pk > '95') ORDER BY strlen(pk), pk LIMIT 10")
-add("scan_segment", lambda s, d: read.scan(C.orders(s, d), Scan().segment(1, 4)).df)
+add("scan_segment", lambda s, d: read.scan(C.orders(s, d), Scan().segment(1, 4)).df, f"SELECT * FROM {ORDERS} WHERE CAST({stored_queries.CRC} AS BIGINT) % 256 % 4 = 1")
 
 
 def _with_metadata(s: SparkSession, d: str) -> ItemTable:
@@ -343,7 +343,6 @@ add("compact", lambda s, d: log.live(log.compact(C.line_log(s, d))), f"SELECT *
 add("compact_stats", lambda s, d: log.compact_stats(C.line_log(s, d)),
     f"SELECT (SELECT count(*) FROM lineitem) AS versions_in, count(*) AS keys, (SELECT count(*) FROM lineitem) - count(*) AS records_removed, CAST(count_if(deleted) AS BIGINT) AS tombstones_removed, CAST(count_if(NOT deleted) AS BIGINT) AS records_out FROM {NEWEST}")
 add("stats", lambda s, d: log.stats(C.orders(s, d).df).select("total_keys", "partitions"), f"SELECT count(*) AS total_keys, count(DISTINCT pk) AS partitions FROM {ORDERS}")
-add("checksum", lambda s, d: C.orders(s, d).df.select("pk", "sk", K.stripe().alias("stripe")))
 
 
 def halves(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -397,7 +396,6 @@ add("conflict_manual", lambda s, d: replica.merge(*halves(s, d), lambda c: c.lim
 add("conflict_custom", lambda s, d: replica.merge(*halves(s, d), lambda c: c.select("pk", "sk", *[F.greatest("l_" + x, "r_" + x).alias(x) for x in _COLS])), f"SELECT coalesce(a.pk, b.pk) AS pk, CAST(NULL AS VARCHAR) AS sk, {', '.join(f'greatest(a.{c}, b.{c}) AS {c}' for c in _COLS)} FROM {LEFT} a FULL JOIN {RIGHT} b ON a.pk = b.pk")
 add("merkle_leaf", lambda s, d: replica.leaves(C.raw(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("pk"), "o_orderstatus", "o_orderpriority"), ("pk",), F.concat_ws("|", "o_orderstatus", "o_orderpriority")),
     "SELECT CAST(o_orderkey AS VARCHAR) AS pk, sha256(CAST(o_orderkey AS VARCHAR) || chr(30) || concat_ws('|', o_orderstatus, o_orderpriority)) AS hash FROM orders")
-add("merkle_build", lambda s, d: replica.merkle_levels(replica.leaves(C.orders(s, d).df)))
 
 
 def _clocks(s: SparkSession, d: str) -> DataFrame:
@@ -447,4 +445,7 @@ add("app_tag_counts", lambda s, d: apps.tag_counts(C.raw(s, d, "part").select(F.
 add("app_posts_by_tag", lambda s, d: apps.by_tag(C.raw(s, d, "part").select("p_partkey", F.regexp_replace("p_name", " ", ", ").alias("tags"), "p_retailprice"), "tags", "RED", "p_retailprice").select("p_partkey"), "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red')")
 add("app_author_posts", lambda s, d: apps.newest_of(C.orders(s, d), "85", "o_orderdate"), f"SELECT * FROM {ORDERS} WHERE pk = '85'")
 add("app_total_count", lambda s, d: C.orders(s, d).df.agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM orders")
-add("ext_vector_top", lambda s, d: apps.nearest(C.raw(s, d, "embeddings"), "embedding", "vec_id", 10))
+add("ext_vector_top", lambda s, d: apps.nearest(C.raw(s, d, "embeddings"), "embedding", "vec_id", 10).select("vec_id", F.round("similarity", 4).alias("similarity")),
+    "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id LIMIT 10")
+QUERIES |= stored_queries.QUERIES
+ORACLE_SQL |= stored_queries.ORACLE_SQL

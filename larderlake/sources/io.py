@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import textwrap
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,9 +66,22 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     json_lines(df).write.text(path)
 
 
-def pretty_json(df: DataFrame, most: int = 1000) -> str:
-    """A JSON array, indented, of at most `most` items: for the screen."""
-    return json.dumps([json.loads(r[0]) for r in json_lines(df).take(most)], indent=2, ensure_ascii=False)
+def pretty_json_lines(df: DataFrame) -> Iterator[str]:
+    """The lines of a JSON array of all items, indented, as they come from the executors."""
+    before = None
+    for r in json_lines(df).toLocalIterator():
+        if before is not None:
+            yield before + ","
+        elif before is None:
+            yield "["
+        *lines, before = textwrap.indent(json.dumps(json.loads(r[0]), indent=2, ensure_ascii=False), "  ").split("\n")
+        yield from lines
+    yield from ("[]",) if before is None else (before, "]")
+
+
+def pretty_json(df: DataFrame) -> str:
+    """A JSON array of all items, indented."""
+    return "\n".join(pretty_json_lines(df))
 
 
 def attribute_names(df: DataFrame) -> list[str]:
@@ -95,28 +111,41 @@ def write_csv(df: DataFrame, path: str) -> None:
     text_columns(df, "").write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def csv_text(df: DataFrame, most: int = 1000) -> str:
-    """The CSV text of at most `most` items: for the screen."""
+def csv_lines(df: DataFrame) -> Iterator[str]:
+    """The lines of the CSV text of all items (a quoted line end stays inside one)."""
     import csv
     import io
 
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
     shown = text_columns(df, "")
-    w.writerow(shown.columns)
-    w.writerows(tuple(r) for r in shown.take(most))
-    return out.getvalue()
+    for r in itertools.chain([shown.columns], shown.toLocalIterator()):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(tuple(r))
+        yield out.getvalue()
+
 
+def csv_text(df: DataFrame) -> str:
+    """The CSV text of all items."""
+    return "".join(x + "\n" for x in csv_lines(df))
 
-def table_text(df: DataFrame, most: int = 100) -> str:
-    """Aligned columns of at most `most` items, `-` for absent attributes: for the screen."""
+
+def table_lines(df: DataFrame) -> Iterator[str]:
+    """The lines of aligned columns of all items, `-` for absent attributes. The widths are found first, in a pass of their own."""
     shown = text_columns(df, "-")
-    rows = [tuple(r) for r in shown.take(most)]
     if not shown.columns:
-        return "(no items)"
-    widths = [max(len(c), *(len(r[i]) for r in rows)) if rows else len(c) for i, c in enumerate(shown.columns)]
+        yield "(no items)"
+        return
+    widths = shown.agg(*[F.max(F.length(f"`{c}`")) for c in shown.columns]).first()
+    widths = [max(len(c), w or 0) for c, w in zip(shown.columns, widths)]
     line = lambda cells: " | ".join(x.ljust(w) for x, w in zip(cells, widths)).rstrip()
-    return "\n".join([line(shown.columns), "-+-".join("-" * w for w in widths), *map(line, rows)])
+    yield line(shown.columns)
+    yield "-+-".join("-" * w for w in widths)
+    for r in shown.toLocalIterator():
+        yield line(tuple(r))
+
+
+def table_text(df: DataFrame) -> str:
+    """All items as aligned columns."""
+    return "\n".join(table_lines(df))
 
 
 def read_json_lines(spark: SparkSession, path: str, pk: str, sk: str | None = None) -> DataFrame:

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir
 from .cdc import stream_changes
 
 
 def run_to_end(spark: SparkSession, d: str) -> DataFrame:
     """(pk, seq, op): the change feed of the events table, streamed with state into Parquet until no input is left."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/larderlake-stream-{uuid.uuid4().hex}"
+    path = shared_dir(spark)
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(d)
     rows = events.select(F.col("user_id").cast("string").alias("pk"), F.col("event_id").cast("long").alias("seq"), (F.col("event_type") == "error").alias("deleted"), "event_type", "value")
