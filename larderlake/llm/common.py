@@ -21,7 +21,7 @@ SLICE = 500_000
 MAX_DOCS = 4096  # documents in a slice, so that an index takes 12 bits
 ROWS = 1000  # rows of an Arrow batch, at most
 CHUNK = 1 << 16  # counters in one row of a dense counter
-HUB = 100_000  # links of a node from which its rows are split over tasks
+HUB = 1_000_000  # links from which a node's are split over tasks
 
 U = np.uint64
 WHITE = np.zeros(256, bool)
@@ -293,16 +293,17 @@ def components(links: DataFrame, rounds: int = 60, scratch: list[str] | None = N
     Large-star and small-star steps alternate until nothing changes; all
     steps are joins and minima over the link table, each written to the
     shared folder. The number of steps grows with the logarithm of the size.
-    Self-links and null ends are ignored. Where a node has HUB links or more
-    the minima are written before they are joined, so that the join is between
-    plain shuffles and Spark splits the hub's rows over several tasks.
+    Self-links and null ends are ignored. Where there are HUB links or more a
+    node may have so many that they fill a task: then the minima are written
+    before they are joined, so that the join is between plain shuffles and
+    Spark splits a hub's rows over several tasks.
     """
     spark, before, own = links.sparkSession, None, []
     edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), scratch=own)
-    hub = edges.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").count().agg(F.max("count")).first()[0] or 0
+    links_left = edges.count()
     for _ in range(rounds):
         passing: list[str] = []
-        low_of = lambda df, m: keep(df.groupBy("u").agg(m), scratch=passing).hint("merge") if hub >= HUB else df.groupBy("u").agg(m)  # noqa: E731, B023
+        low_of = lambda df, m: keep(df.groupBy("u").agg(m), scratch=passing).hint("merge") if links_left >= HUB else df.groupBy("u").agg(m)  # noqa: E731, B023
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         large = both.where("v > u").join(low_of(both, F.least(F.min("v"), F.first("u")).alias("m")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = low_of(large, F.min("v").alias("m"))
@@ -311,9 +312,8 @@ def components(links: DataFrame, rounds: int = 60, scratch: list[str] | None = N
         forget(spark, own.pop(0))
         for path in passing:
             forget(spark, path)
-        degree = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        *now, hub = degree.agg(F.sum("n"), F.sum("h"), F.max("n")).first()
-        hub = hub or 0
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        links_left = now[0]
         if now == before:
             break
         before = now

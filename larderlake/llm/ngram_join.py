@@ -15,11 +15,14 @@ Members of a prefix token's list are compared by
   fixed pivots; it needs BITS bits for a set instead of the set).
 
 Pairs that pass are compared by as many cells as suit their size, and whole
-sets are fetched only for those that pass this too. For components no long
-list (over SMALL) is expanded into all pairs: first each member is verified
-against the member of its list with the most partners, then against its
-nearest, and only what still lies in different components, and wasn't tested,
-is verified pair by pair.
+sets are fetched only for those that pass this too. For components no list
+with more such pairs than members is expanded into them: first each member is
+verified against the member of its block with the most partners, and those of
+a list's blocks against each other, then each against its nearest, and only
+what still lies in different components, and wasn't tested, is verified pair
+by pair. Lists are dealt by ranges of (token, size, id), so those of a hot
+token lie in many tasks; of two blocks only those that hold different
+components are brought together.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ from .common import U, batches, components, counted, dense, distinct, forget, ke
 
 SKETCH = 22  # bits: 4M counters, 4 MB when sent to the tasks, whatever the corpus
 BITS = 512
-SMALL = 32  # members of a list whose surviving pairs are all taken at once
 LIST = 1024  # members of a block of a list
 GROUP = 100_000  # members compared at once, one list block (or pair of blocks) at least
+GATHER = 50_000  # rows cut into blocks at once
+PAIRS = 1_000_000  # pairs that a task holds before it sends them on
 
 
 def shingles(column: pa.Array, n: int):
@@ -126,85 +130,127 @@ def tokens_of(docs: DataFrame, n: int) -> DataFrame:
     return batches(docs, run, "id long, tokens binary")
 
 
-def lists(classes: DataFrame, size: int) -> DataFrame:
-    """(token, blk, several, id, n, pos): the members of every prefix token that two classes or more share, in blocks of `size` by n; several: whether the list has more than one block."""
-    rows = classes.select("id", F.col("n"), F.posexplode("prefix").alias("pos", "token"))
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "id")
+def blocks(rows: DataFrame, order: list[str], size: int, save) -> DataFrame:
+    """rows with (blk, open): each token's rows, in the order of `order` (token first), in blocks of `size`.
+
+    The rows are dealt by ranges of the whole order, so a hot token's rows lie
+    in many tasks, and are counted there; what the tasks before have of it is
+    added after, for tokens that may go on in another task alone. open: the
+    token has more than one block. Tokens that one row alone has are left out.
+    save: keeps a table.
+    """
+    from pyspark import TaskContext
+    from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
+    from pyspark.sql.window import Window
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at_token = rows.columns.index(order[0])
+
+    def gathered(it):
+        held, count = [], 0
+        for b in it:
+            held.append(b)
+            count += b.num_rows
+            if count >= GATHER:
+                yield held
+                held, count = [], 0
+        yield held
 
     def run(it):
-        held, before = None, 0  # rows of the last token that wait for its end, and how many of it are out
+        part = TaskContext.get().partitionId()
+        waits, out, first, last = None, 0, None, None  # rows of the last token that may be its only ones; how many of it are out; the task's first token
 
-        def out(cols, before, ended):
-            """Whole lists, and of the last token what can be told; then what waits, and how many of it are out."""
-            token = cols[0]
+        def cut(t, ended):
+            nonlocal waits, out, first
+            token = t.column(at_token).to_numpy(zero_copy_only=False)
+            first = token[0] if first is None else first
             begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             length = np.diff(np.append(begins, len(token)))
-            start = np.zeros(len(begins), np.int64)
-            start[0] = before
-            total = start + length
-            go = total > 1
-            if not ended and total[-1] <= size:
+            before = np.zeros(len(begins), np.int64)
+            before[0] = out
+            total = before + length
+            edge = (token[begins] == first) | (before > 0)
+            hold = not ended and before[-1] == 0 and total[-1] <= size
+            edge[-1] |= not hold  # it may go on in the next task
+            go = edge | (total > 1)
+            if hold:
                 go[-1] = False
             row = np.repeat(go, length)
-            at = np.arange(len(token)) - np.repeat(begins - start, length)
-            waits = [c[begins[-1] :] for c in cols] if not ended and not go[-1] else [c[:0] for c in cols]
-            rows = {"token": token[row], "blk": (at[row] // size).astype(np.int32), "several": np.repeat(total > size, length)[row], "id": cols[1][row], "n": cols[2][row], "pos": cols[3][row]}
-            return rows, waits, (0 if len(waits[0]) else int(total[-1])), token[-1]
-
-        last = None
-        for b in it:
-            cols = [b[x].to_numpy(zero_copy_only=False) for x in ("token", "id", "n", "pos")]
-            if not len(cols[0]):
+            at = np.arange(len(token)) - np.repeat(begins - before, length)
+            kept = t.filter(pa.array(row)).combine_chunks()
+            waits, out = (t.slice(int(begins[-1])), 0) if hold else (None, int(total[-1]))
+            own = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in kept.columns]
+            more = [pa.array(at[row], pa.int64()), pa.array(np.repeat(edge, length)[row], pa.bool_()), pa.array(np.repeat(total > size, length)[row], pa.bool_())]
+            return pa.RecordBatch.from_arrays([*own, *more, pa.array(np.full(int(row.sum()), part, np.int32))], names=[*kept.column_names, "_at", "_edge", "_many", "_part"])
+
+        for held in gathered(it):
+            t = pa.Table.from_batches(held) if held else None
+            if t is None or not t.num_rows:
                 continue
-            if held is not None and len(held[0]):
-                cols = [np.append(h, c) for h, c in zip(held, cols)]
-            rows, held, before, last = out(cols, before if last is not None and cols[0][0] == last else 0, False)
-            yield rows
-        if held is not None and len(held[0]):
-            yield out(held, before, True)[0]
-
-    return batches(rows.select("token", "id", "n", "pos"), run, "token long, blk int, several boolean, id long, n long, pos int")
+            if waits is not None:
+                t = pa.concat_tables([waits, t])
+            elif t.column(at_token)[0].as_py() != last:
+                out = 0
+            last = t.column(at_token)[-1].as_py()
+            yield cut(t, False)
+        if waits is not None:
+            yield cut(waits, True)
+
+    lower_batches(rows.sparkSession)
+    own = [StructField("_at", LongType()), StructField("_edge", BooleanType()), StructField("_many", BooleanType()), StructField("_part", IntegerType())]
+    found = save(rows.mapInArrow(run, StructType([*rows.schema.fields, *own])))
+    one = Window.partitionBy("token")
+    ends = found.where("_edge").groupBy("token", "_part").agg(F.count("*").alias("_n"))
+    ends = ends.select("token", "_part", (F.sum("_n").over(one.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(one).alias("_total"))
+    found = found.join(ends, ["token", "_part"], "left").where("_total is null or _total > 1")
+    at = ((F.coalesce("_before", F.lit(0)) + F.col("_at")) / size).cast("long").alias("blk")
+    return found.select(*rows.columns, at, F.coalesce(F.col("_total") > size, "_many").alias("open"))
 
 
 def tasks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Members with `sub` and `side`: one task a list of one block, else one for each two blocks whose lengths can link."""
-    one = members.where("not several").select("*", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("side"))
-    rest = members.where("several")
-    blocks = rest.groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    a, b = blocks.select("token", F.col("blk").alias("a"), F.col("high")), blocks.select("token", F.col("blk").alias("b"), F.col("low"))
-    two = a.join(b, "token").where(f"a <= b and high * {den} >= low * {num}").select("token", "a", "b", (F.col("a").cast("long") * F.lit(1 << 31) + F.col("b") + 1).alias("sub"))
-    left = rest.join(two, (rest.token == two.token) & (rest.blk == two.a)).select(rest["*"], two["sub"], F.lit(0).alias("side"))
-    right = rest.join(two.where("a < b"), (rest.token == two.token) & (rest.blk == F.col("b"))).select(rest["*"], "sub", F.lit(1).alias("side"))
-    return one.unionByName(left).unionByName(right).drop("blk", "several")
+    """Members (with blk, open, label) with `sub` and `side`: one task for a list of one block, else one for each two blocks that hold different labels and lengths that can link."""
+    one = members.where("not open").select("*", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("side"))
+    rest = members.where("open")
+    ends = rest.groupBy("token", "blk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("from"), F.max("label").alias("to"))
+    a, b = (ends.select("token", *[F.col(c).alias(f"{x}_{c}") for c in ("blk", "low", "high", "from", "to")]) for x in "ab")
+    same = "a_from = a_to and a_from = b_from and a_from = b_to"
+    two = a.join(b, "token").where(f"a_blk <= b_blk and a_high * {den} >= b_low * {num} and b_high * {den} >= a_low * {num} and not ({same})")
+    two = two.select("token", "a_blk", "b_blk", F.xxhash64("a_blk", "b_blk").alias("sub"))
+    left = rest.join(two, (rest.token == two.token) & (rest.blk == two.a_blk)).select(rest["*"], two["sub"], F.when(F.col("a_blk") == F.col("b_blk"), 0).otherwise(1).alias("side"))
+    right = rest.join(two.where("a_blk < b_blk"), (rest.token == two.token) & (rest.blk == F.col("b_blk"))).select(rest["*"], "sub", F.lit(2).alias("side"))
+    return one.unionByName(left).unionByName(right)
 
 
 def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
-    """Compares the members of each task that differ in `label`: (token, sub, side, id, n, pos, bits, hub, near).
-
-    A row without bits is a pair (id, hub) that the filters leave: of every
-    list in step `all`, of lists of at most SMALL members in step `first`. A
-    row with bits is a member of a longer list that has a partner left, with
-    the partner that has the most (`hub`) and the one that differs least
-    (`near`).
+    """Compares the members of each task (token, sub) that differ in `label`: (kind, token, id, n, pos, bits, open, other).
+
+    Kind 0 is a pair (id, other) that the filters leave. Step `first`: of a
+    list that has no more such pairs than members all pairs; of any other, each
+    member with the partner that has the most partners, and the members with
+    a partner as rows of kind 1, to be compared again. Members of open lists
+    always are of kind 1, and one of each block, the one with the most
+    partners, of kind 2 too. Step `reps` takes these: like `first`, but only
+    LIST neighbours by size are compared, and no member comes back. Step
+    `near`: each member with its nearest partner. Step `all`: all pairs.
+    So all steps but `all` give no more rows than three times the members.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["token", "sub", "side", "id", "n", "pos", "bits", "label"]
+    names = ["token", "sub", "side", "id", "n", "pos", "bits", "label", "open"]
     rows = rows.select(*names).repartition(parts, "token", "sub").sortWithinPartitions("token", "sub", "n", "id")
 
-    def each(part, end, visit):
-        """Calls visit(i, j, differing cells) for the surviving pairs, a distance in the list at a time."""
-        token, sub, side, own, n, pos, bits, label = part
-        cross = (sub != 0) & ((sub - 1) >> 31 != (sub - 1) & ((1 << 31) - 1))  # two blocks: pairs across alone
-        i, d = np.arange(len(token)), 0
+    def each(part, end, i):
+        """(i, j, differing cells) of the surviving pairs whose first member is among i, a distance in the list at a time."""
+        token, sub, side, own, n, pos, bits, label, _ = part
+        d = 0
         while True:
             d += 1
             i = i[end[i] > i + d]
-            if not len(i):
+            if not len(i) or (step == "reps" and d > LIST):
                 return
             i = i[n[i] * den >= n[i + d] * num]  # lists ascend in n: a length that fails stays out
             j = i + d
-            ok = (label[i] != label[j]) & (own[i] != own[j]) & (~cross[i] | (side[i] != side[j]))
+            ok = (label[i] != label[j]) & (own[i] != own[j]) & ((side[i] == 0) | (side[i] != side[j]))
             a, b = i[ok], j[ok]
             if not len(a):
                 continue
@@ -214,61 +260,98 @@ def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
             differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             ok = differ <= n[a] + n[b] - 2 * need
             if ok.any():
-                visit(a[ok], b[ok], differ[ok])
+                yield a[ok], b[ok], differ[ok]
+
+    def out(kind, part, i, other=None):
+        token, _, _, own, n, pos, bits, _, several = part
+        none = np.zeros(len(i), np.int64)
+        if kind == 0:
+            return {"kind": none.astype(np.int32), "token": none, "id": own[i], "n": none, "pos": none.astype(np.int32), "bits": [None] * len(i), "open": none.astype(bool), "other": own[other]}
+        data = bits.view(np.uint8).reshape(len(bits), -1)[i]
+        return {"kind": np.full(len(i), kind, np.int32), "token": token[i], "id": own[i], "n": n[i], "pos": pos[i].astype(np.int32), "bits": [x.tobytes() for x in data], "open": several[i], "other": none}
 
     def work(held):
         part = [np.concatenate(x) for x in zip(*held)]
-        token, sub, side, own, n, pos, bits, _ = part
-        new = np.append(True, (token[1:] != token[:-1]) | (sub[1:] != sub[:-1]))
-        at = np.flatnonzero(new)
-        length = np.diff(np.append(at, len(token)))
+        token, sub, _, own, _, _, _, _, several = part
+        k = len(token)
+        at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (sub[1:] != sub[:-1])))
+        length = np.diff(np.append(at, k))
         end = np.repeat(at + length, length)
-        whole = np.full(len(token), step == "all") | ((np.repeat(length, length) <= SMALL) & (step == "first"))
-        found, degree = [], np.zeros(len(token), np.int64)
-
-        def count(i, j, _):
-            w = whole[i]
+        where = np.repeat(np.arange(len(at)), length)
+        ids, local = np.unique(own, return_inverse=True)
+        spot = np.zeros(len(ids), np.int64)
+        spot[local] = np.arange(k)
+        done = np.zeros(0, np.int64)  # pairs that are out, as numbers
+
+        def pairs(a, b):
+            """Rows of the pairs that aren't out yet."""
+            nonlocal done
+            key = np.unique(np.minimum(local[a], local[b]) * len(ids) + np.maximum(local[a], local[b]))
+            key = key[~np.isin(key, done, assume_unique=True)]
+            done = key if step == "all" else np.union1d(done, key)
+            if len(key):
+                yield out(0, part, spot[key // len(ids)], spot[key % len(ids)])
+
+        if step == "all":
+            found, count = [], 0
+            for a, b, _ in each(part, end, np.arange(k)):
+                found.append((a, b))
+                count += len(a)
+                if count >= PAIRS:
+                    yield from pairs(*map(np.concatenate, zip(*found)))
+                    found, count = [], 0
+            if found:
+                yield from pairs(*map(np.concatenate, zip(*found)))
+            return
+        least, near = np.full(k, 1 << 30), np.full(k, -1)
+        if step == "near":
+            for i, j, differ in each(part, end, np.arange(k)):
+                for x, y in ((i, j), (j, i)):  # each has one partner at this distance
+                    up = differ < least[x]
+                    least[x[up]], near[x[up]] = differ[up], y[up]
+            i = np.flatnonzero(near >= 0)
+            yield from pairs(i, near[i])
+            return
+        degree, many, found = np.zeros(k, np.int64), np.zeros(len(at), np.int64), []
+        for a, b, _ in each(part, end, np.arange(k)):
+            degree[a] += 1
+            degree[b] += 1
+            w = many[where[a]] <= length[where[a]]
+            many += np.bincount(where[a], minlength=len(at))
             if w.any():
-                found.append((own[i[w]], own[j[w]]))
-            degree[i[~w]] += 1
-            degree[j[~w]] += 1
-
-        each(part, end, count)
-        out = []
+                found.append((a[w], b[w]))
+        full = (many > length)[where]  # members of lists that have more pairs than members
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
-            x = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            z = np.zeros(len(x), np.int64)
-            out.append({"token": z, "sub": z, "side": z.astype(np.int32), "id": x[:, 0], "n": z, "pos": z.astype(np.int32), "bits": [None] * len(x), "hub": x[:, 1], "near": z})
-        if not degree.any():
-            return out
-        # the partner with the most partners (the earlier of equal ones), and the nearest
-        rank = degree * len(token) - np.arange(len(token))
-        best, hub = np.full(len(token), np.iinfo(np.int64).min), np.full(len(token), -1)
-        least, near = np.full(len(token), 1 << 30), np.full(len(token), -1)
-
-        def choose(i, j, differ):
-            w = ~whole[i]
-            for x, y, e in ((i[w], j[w], differ[w]), (j[w], i[w], differ[w])):  # each has one partner at this distance
-                up = rank[y] > best[x]
-                best[x[up]], hub[x[up]] = rank[y[up]], y[up]
-                up = e < least[x]
-                least[x[up]], near[x[up]] = e[up], y[up]
-
-        each(part, end, choose)
-        i = np.flatnonzero(degree)
-        data = bits.view(np.uint8).reshape(len(bits), -1)[i]
-        out.append({"token": token[i], "sub": sub[i], "side": side[i].astype(np.int32), "id": own[i], "n": n[i], "pos": pos[i].astype(np.int32), "bits": [x.tobytes() for x in data], "hub": own[hub[i]], "near": own[near[i]]})
-        return out
+            yield from pairs(a[~full[a]], b[~full[a]])
+        if full.any():
+            # the partner with the most partners (the earlier of equal ones)
+            rank = degree * k - np.arange(k)
+            best, hub = np.full(k, np.iinfo(np.int64).min), np.full(k, -1)
+            for i, j, _ in each(part, end, np.flatnonzero(full)):
+                for x, y in ((i, j), (j, i)):
+                    up = rank[y] > best[x]
+                    best[x[up]], hub[x[up]] = rank[y[up]], y[up]
+            i = np.flatnonzero(hub >= 0)
+            yield from pairs(i, hub[i])
+        if step == "reps":
+            return
+        i = np.flatnonzero(several | (full & (degree > 0)))
+        if len(i):
+            yield out(1, part, i)
+        first = np.flatnonzero(several[at])
+        if len(first):
+            rank = degree * k - np.arange(k)
+            yield out(2, part, np.array([at[x] + np.argmax(rank[at[x] : at[x] + length[x]]) for x in first]))
 
     def run(it):
         held, count, last = [], 0, None
         for b in it:
             if not b.num_rows:
                 continue
-            token, sub, side, own, n, pos, label = (b[x].to_numpy(zero_copy_only=False) for x in names if x != "bits")
+            token, sub, side, own, n, pos, label, several = (b[x].to_numpy(zero_copy_only=False) for x in names if x != "bits")
             bits = np.frombuffer(b"".join(b["bits"].to_pylist()), U).reshape(b.num_rows, -1)
-            part = (token, sub, side, own, n, pos.astype(np.int64), bits, label)
+            part = (token, sub, side, own, n, pos.astype(np.int64), bits, label, several.astype(bool))
             if count >= GROUP:
                 differs = (token != last[0]) | (sub != last[1])
                 cut = int(np.argmax(differs)) if differs.any() else len(token)
@@ -285,7 +368,7 @@ def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
         if held:
             yield from work(held)
 
-    return batches(rows, run, "token long, sub long, side int, id long, n long, pos int, bits binary, hub long, near long")
+    return batches(rows, run, "kind int, token long, id long, n long, pos int, bits binary, open boolean, other long")
 
 
 def plausible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
@@ -353,7 +436,9 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     its texts. Null doc_ids: component null. Other columns don't matter. An
     empty table gives an empty one.
 
-    Sizes and overlaps are counted on 52-bit hashes of shingles.
+    Very long texts are one row of the batch; prefixes grow with them, not the
+    cells. Sizes and overlaps are counted on 46 hash bits of a shingle and 6 of
+    its words' rarity.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch: list[str] = []
@@ -362,43 +447,56 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     some = known.where("n > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "bits", "prefix"))
     classes = save(some.groupBy("n", "s1", "s2").agg(first.alias("x")).select("n", "s1", "s2", F.col("x.doc_id").alias("id"), "x.bits", "x.prefix"))
-    members = lists(classes, LIST).join(classes.select("id", "n", "bits").hint("merge"), ["id", "n"])
-    rows = tasks(save(members), num, den).withColumn("label", F.col("id"))
-    found = save(partners(rows, num, den, "first"))
-    held = found.where("bits is not null")  # of the long lists
+    members = blocks(classes.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "id", "pos"), ["token", "n", "id"], LIST, save)
+    members = members.join(classes.select("id", "n", "bits").hint("merge"), ["id", "n"])
+    found = save(partners(members.select("*", F.col("blk").alias("sub"), F.lit(0).alias("side"), F.col("id").alias("label")), num, den, "first"))
+    held = found.where("kind = 1").select("token", "n", "id", "pos", "bits", "open")  # of the lists with many pairs
 
-    def ends(df: DataFrame, other: str) -> DataFrame:
-        return df.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+    def ends(df: DataFrame) -> DataFrame:
+        return df.where("kind = 0").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
-    def labelled(labels: DataFrame) -> DataFrame:
-        return held.drop("hub", "near").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    def apart(labels: DataFrame) -> DataFrame | None:
+        """The held lists' members, of lists that lie in several components, in blocks; None without any."""
+        rows = held.drop("open").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        mixed = rows.groupBy("token").agg(F.min("label").alias("from"), F.max("label").alias("to")).where("`from` < `to`").select("token")
+        rows = save(blocks(rows.join(mixed, "token", "left_semi").select("token", "label", "n", "id", "pos", "bits"), ["token", "label", "n", "id"], LIST, save))
+        return rows if rows.take(1) else None
+
+    def compared(rows: DataFrame, step: str) -> DataFrame:
+        """New pairs of members that lie in different components."""
+        return ends(partners(tasks(rows, num, den), num, den, step)).join(tested, ["a", "b"], "left_anti")
 
     def fetched(pairs: DataFrame, merge: bool) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         return save(tokens_of(slim.join(ids.hint("merge") if merge else ids, slim.doc_id == ids.id, "left_semi"), n))
 
-    tested = save(ends(found, "hub"))
+    reps = found.where("kind = 2").select("*", F.lit(0).cast("long").alias("sub"), F.lit(0).alias("side"), F.col("id").alias("label"))
+    tested = save(ends(found.select("kind", "id", "other").union(partners(reps, num, den, "reps").select("kind", "id", "other"))))
     pairs = save(plausible(tested, some, num, den))
     labels = save(components(pairs, scratch=scratch))
     many = bool(held.take(1))
-    if many:  # of the members of long lists alone
+    if many:  # of the members of held lists alone
         own = held.select(F.col("id").alias("doc_id")).distinct()
         known_long = save(some.select("doc_id", "n", "cells").join(own.hint("merge"), "doc_id", "left_semi"))
-    for step in ("near", "all") if many else ():
-        new = partners(labelled(labels), num, den, step)
-        new = save(ends(new, "near" if step == "near" else "hub").join(tested, ["a", "b"], "left_anti"))
+    rows = apart(labels) if many else None
+    for step in ("near", "all") if rows is not None else ():
+        new = save(compared(rows, step))
         tested = tested.union(new)
         new = save(plausible(new, known_long, num, den))
         pairs = pairs.union(new)
         if new.take(1):
             labels = save(joined(labels, new, scratch))
+            rows = apart(labels)
+            if rows is None:
+                break
     # so far pairs that look like links joined components; now the links alone do
     links = save(verify(pairs, fetched(pairs, True), num, den))
-    labels = save(components(links, scratch=scratch))
-    if many and pairs.count() > links.count():
+    wrong = pairs.distinct().count() > links.count()
+    if wrong:
+        labels = save(components(links, scratch=scratch))
+    if many and wrong and (rows := apart(labels)) is not None:
         # what a pair that is no link kept from being compared; few, so Spark may send the ids to the tasks
-        new = ends(partners(labelled(labels), num, den, "all"), "hub").join(tested, ["a", "b"], "left_anti")
-        new = save(plausible(new, known_long, num, den))
+        new = save(plausible(compared(rows, "all"), known_long, num, den))
         if new.take(1):
             labels = save(joined(labels, verify(new, fetched(new, False), num, den), scratch))
     named = some.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"])
