@@ -66,3 +66,38 @@ def test_null_ids(spark):
 
 def test_empty(spark):
     assert repeats.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_small_tables_give_the_same(spark, monkeypatch):
+    """Slots that are taken again and again, a bit map that lets all seeds through, groups of a few suffixes, slices of a few texts."""
+    import random
+
+    from larderlake.llm import common
+
+    monkeypatch.setattr(repeats, "SLOTS", 3)
+    monkeypatch.setattr(repeats, "BITS", 3)
+    monkeypatch.setattr(repeats, "GROUP", 7)
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        a = rng.randrange(150)
+        rows.append((rng.randrange(10_000) * 200 + i, " ".join([f"r{rng.randrange(9)}" for _ in range(rng.randrange(6))] + base[a : a + rng.randrange(5, 60)] + [f"t{rng.randrange(9)}" for _ in range(rng.randrange(6))] + base[:30])))
+    for size, hot in ((common.SLICE, 50_000), (300, 50_000), (common.SLICE, 1), (300, 4)):
+        monkeypatch.setattr(common.slices, "__defaults__", (common.LOWER, size))
+        monkeypatch.setattr(repeats, "HOT", hot)
+        compare(spark, rows, 12)
+        compare(spark, rows, 20)
+
+
+def test_one_passage_in_every_document(spark, monkeypatch):
+    """A passage in all documents costs a few rows a task, not one a document."""
+    p = " ".join(f"p{i}" for i in range(150))
+    rows = [(i, f"a{i} b{i} {p} c{i} d{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    ones = repeats.np.full(1 << repeats.BITS >> 3, 255, repeats.np.uint8)
+    kinds = {r.kind: r["count"] for r in repeats.suffixes(df, 50, 8, (ones, ones)).where("kind <> 4 or n = 1").groupBy("kind").count().collect()}
+    assert kinds[1] == 2000 and kinds[2] > 2000 and kinds[4] < 400  # windows with copies that go on
+    compare(spark, rows, 50)
+    monkeypatch.setattr(repeats, "HOT", 100)
+    compare(spark, rows, 50)
