@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .database import Database, Operation
-from .errors import StoreError
+from .errors import NotFound, StoreError
 from .functions import keys as K
 from .functions import values as V
 from .functions.retry import Retry
@@ -70,13 +70,20 @@ _made: dict[tuple, Database] = {}
 
 
 def once(make: Callable[[SparkSession, str], Database], s: SparkSession, d: str) -> Database:
-    """A table that queries only read, made once a session."""
+    """A table that queries only read, made once a session, and again if its folder has gone."""
     key = (make.__name__, s.sparkContext.applicationId, d)
-    if key not in _made:
+    if key not in _made or not _there(_made[key]):
         _made[key] = make(s, d)
     return _made[key]
 
 
+def _there(db: Database) -> bool:
+    try:
+        return db.health() == "Healthy"
+    except NotFound:
+        return False
+
+
 def live(db: Database) -> DataFrame:
     return flat(db.scan().df, "name", "nation", "segment")
 
@@ -295,7 +302,7 @@ add("gsi_def", lambda s, d: _specs(s, True), _values([("g", "p", None, "ALL", ""
 
 
 def _tries(s: SparkSession, d: str) -> DataFrame:
-    from .errors import ConflictingCommit, NotFound
+    from .errors import ConflictingCommit
 
     out = []
     for name in ("none", "fast", "standard"):
