@@ -159,14 +159,15 @@ def items_of(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def bloom(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The top bits of each window's hash as a bit map."""
-    return bit_map(seeds.select(F.shiftrightunsigned("seed", 64 - bits).alias("at")), bits)
+    """Two parts of each window's hash, its top bits and the next, in one bit map."""
+    parts = F.array(F.shiftrightunsigned("seed", 64 - bits), F.shiftrightunsigned("seed", 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1)))
+    return bit_map(seeds.select(F.explode(parts).alias("at")), bits)
 
 
 def candidates(docs: DataFrame, there: np.ndarray, least: int = LEAST) -> DataFrame:
     """(row, doc_id, words, seeds) of each row of docs (doc_id, text) with a window in the bloom filter: its word hashes, and those windows."""
     shared = docs.sparkSession.sparkContext.broadcast(there)
-    shift = 64 - int(np.log2(len(there) * 8))
+    size = int(np.log2(len(there) * 8))
 
     def run(it):
         bits, row = shared.value, TaskContext.get().partitionId() << 33
@@ -174,8 +175,10 @@ def candidates(docs: DataFrame, there: np.ndarray, least: int = LEAST) -> DataFr
             for s in slices(lowered(b["text"]), PLAIN):
                 h, begin = normal_hashes(s)
                 w, doc = ngrams(h, begin, least)
-                at = (w >> U(shift)).astype(np.int64)
-                hit = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                hit = np.arange(len(w))
+                for shift in (64 - size, 64 - 2 * size):
+                    at = (w[hit] >> U(shift) & U((1 << size) - 1)).astype(np.int64)
+                    hit = hit[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
                 some, first = np.unique(doc[hit], return_index=True)
                 seeds = [np.unique(w[x]).view(np.int64) for x in np.split(hit, first[1:])] if len(some) else []
                 yield {"row": row + np.arange(len(some)), "doc_id": b["doc_id"][s.at.start : s.at.stop].take(pa.array(some)), "words": [h[begin[i] : begin[i + 1]].tobytes() for i in some], "seeds": seeds}
