@@ -6,9 +6,11 @@ is searched for the id as a whole array; a prefix scan over the blocks of a
 file, in two levels, then gives each block the documents before it and the
 tokens that its first document has in earlier blocks.
 
-The query writes such files with Spark's own text writer, one value a file, so
-they can lie in any file system that Spark has; the writer's line end, one
-byte, is no whole token. The vocabulary file must be there on every executor.
+write_files() makes such files with Spark's own text writer, one value a file,
+so they can lie in any file system that Spark has; the writer's line end, one
+byte, is no whole token. The query keeps its files' blocks in Parquet instead:
+one value a file took more memory than an executor of the check has. The
+vocabulary file must be there on every executor.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, keep, shared_dir, table
+from .common import batches, keep, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -30,7 +32,7 @@ END = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 1 << 18  # tokens
 RUN = 1024  # blocks of one run of the first level
-FILE = 1 << 22  # tokens of a file, from which a new one begins after a document: 8 MB
+FILE = 1 << 20  # tokens of a flat file, from which a new one begins after a document
 NULL_ID = -(1 << 63)  # stands for a null doc_id in a side list
 _encoders: dict[str, object] = {}
 
@@ -46,6 +48,38 @@ def encoder(path: str = VOCABULARY):
     return _encoders[path]
 
 
+def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, block: int = BLOCK) -> DataFrame:
+    """Tokenises docs (doc_id, text) to flat files, one for each partition: (file, block, tokens, ids).
+
+    tokens: little-endian uint16 ids of one block, cut without regard to
+    documents. ids: the file's side list, the int64 doc_ids in the order of
+    the documents, in rows with null tokens where `block` is the place of the
+    first. Null text: no token, its end id alone. Null doc_id: NULL_ID.
+    """
+
+    def run(it):
+        encode, file, at, listed = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId(), 0, 0
+        held, n = [], 0
+        for b in it:
+            for text in b["text"].to_pylist():
+                x = np.array([*encode(text or ""), end], "<u2")
+                held.append(x)
+                n += len(x)
+                if n >= block:
+                    x = np.concatenate(held)
+                    full = len(x) // block
+                    yield {"file": [file] * full, "block": list(range(at, at + full)), "tokens": [x[i * block : (i + 1) * block].tobytes() for i in range(full)], "ids": [None] * full}
+                    held, at = [x[full * block :]], at + full
+                    n = len(held[0])
+            ids = np.array([NULL_ID if x is None else x for x in b["doc_id"].to_pylist()], "<i8")
+            yield {"file": [file], "block": [listed], "tokens": [None], "ids": [ids.tobytes()]}
+            listed += len(ids)
+        if n:
+            yield {"file": [file], "block": [at], "tokens": [np.concatenate(held).tobytes()], "ids": [None]}
+
+    return batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "file long, block long, tokens binary, ids binary")
+
+
 def write_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, size: int = FILE) -> None:
     """Tokenises docs (doc_id, text) to flat files below a path, in folders kind=tokens/file=n and kind=ids/file=n.
 
@@ -188,16 +222,14 @@ def scan(blocks: DataFrame, end: int = END, kind: str = "<u2") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op8: writes all documents as flat token files to the shared folder, scans them, names the documents by the side lists."""
-    path = shared_dir(spark)
-    write_files(table(spark, sf_dir, "documents"), path)
+    """op8: writes all documents as token files to the shared folder, scans them, names the documents by the side lists."""
+    stored = keep(write_blocks(table(spark, sf_dir, "documents")))
 
     def listed(it):
         for b in it:
-            for file, ids in zip(b["file"].to_pylist(), b["content"].to_pylist()):
-                x = np.frombuffer(ids[: len(ids) // 8 * 8], "<i8")
-                yield {"file": [file] * len(x), "document": range(len(x)), "doc_id": x}
+            for file, first, ids in zip(*(b[x].to_pylist() for x in ("file", "block", "ids"))):
+                x = np.frombuffer(ids, "<i8")
+                yield {"file": [file] * len(x), "document": range(first, first + len(x)), "doc_id": x}
 
-    ids = batches(written(spark, path, "ids"), listed, "file long, document long, doc_id long")
-    counts = scan(cut(written(spark, path, "tokens")))
-    return ids.join(counts, ["file", "document"]).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_tokens")
+    ids = batches(stored.where("ids is not null").select("file", "block", "ids"), listed, "file long, document long, doc_id long")
+    return ids.join(scan(stored), ["file", "document"]).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_tokens")

@@ -23,6 +23,14 @@ def test_small_blocks_and_odd_texts(spark, tmp_path, monkeypatch):
         assert got == [(len(e.encode_ordinary(t or "")), True) for _, t in rows]
 
 
+def test_blocks_of_a_table(spark):
+    rows = [(1, None), (2, ""), (3, "<|endoftext|> plain"), (4, "x " * 5000), (None, "a"), (5, "é" * 300)]
+    blocks = tokens.write_blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block=7)
+    e = tokens.encoder()
+    got = [(r.document, r.n_tokens, r.ended) for r in tokens.scan(blocks).orderBy("document").collect()]
+    assert got == [(i, len(e.encode_ordinary(t or "")), True) for i, (_, t) in enumerate(rows)]
+
+
 def test_clashing_names_and_repeated_rows(spark, tmp_path):
     spark.createDataFrame([(1, "a b", 3, 4)] * 2, "doc_id long, text string, file int, n_tokens int").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in tokens.query(spark, str(tmp_path)).collect()] == [(1, 2), (1, 2)]
@@ -51,3 +59,5 @@ def test_flat_files(spark, tmp_path, monkeypatch):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert tokens.query(spark, str(tmp_path)).count() == 0
+    tokens.write_files(spark.read.parquet(str(tmp_path / "documents.parquet")), f"file://{tmp_path}/files")
+    assert tokens.scan(tokens.cut(tokens.written(spark, f"file://{tmp_path}/files", "tokens"))).count() == 0
