@@ -20,7 +20,9 @@ with more such pairs than members is expanded into them: first each member is
 verified against the member of its block with the most partners, and those of
 a list's blocks against each other, then each against its nearest, and only
 what still lies in different components, and wasn't tested, is verified pair
-by pair. Lists are dealt by ranges of (token, size, id), so those of a hot
+by pair. These later comparisons have the members' cells beside them, so a pair
+that cells rule out is never a row: the members of a large group that are too far
+from each other have as many pairs as the square of its size. Lists are dealt by ranges of (token, size, id), so those of a hot
 token lie in many tasks; of two blocks only those that hold different
 components are brought together.
 """
@@ -36,8 +38,10 @@ from .common import U, batches, components, counted, dense, distinct, forget, ke
 
 SKETCH = 22  # bits: 4M counters, 4 MB when sent to the tasks, whatever the corpus
 BITS = 512
+CELLS = 4096  # cells of a set, at most, beside each of its places in the lists that are compared again
 LIST = 1024  # members of a block of a list
 GROUP = 100_000  # members compared at once, one list block (or pair of blocks) at least
+FINE = 4 << 20  # bytes of cells compared at once
 GATHER = 50_000  # rows cut into blocks at once
 PAIRS = 1_000_000  # pairs that a task holds before it sends them on
 
@@ -117,6 +121,32 @@ def sets(docs: DataFrame, n: int, num: int, den: int, rarity: np.ndarray) -> Dat
     return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n long, s1 long, s2 long, bits binary, cells binary, prefix array<bigint>")
 
 
+def folded(known: DataFrame) -> DataFrame:
+    """(id, n, cells) of known (doc_id, n, cells), with CELLS cells at most."""
+
+    def run(it):
+        for b in it:
+            cells = [np.frombuffer(x, np.uint8) for x in b["cells"].to_pylist()]
+            yield {"id": b["doc_id"], "n": b["n"], "cells": [np.bitwise_xor.reduce(x.reshape(-1, min(len(x), CELLS // 8))).tobytes() for x in cells]}
+
+    return batches(known.select("doc_id", "n", "cells"), run, "id long, n long, cells binary").distinct()
+
+
+def apart_by(a: np.ndarray, b: np.ndarray, cells: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Differing cells of the pairs (a, b) of rows of cells, of which the first `width` bytes count. The larger set's are folded to the smaller's."""
+    out = np.zeros(len(a), np.int64)
+    least = np.minimum(width[a], width[b])
+    for w in np.unique(least[least > 0]).tolist():
+        at = np.flatnonzero(least == w)
+        for k in range(0, len(at), max(1, FINE // cells.shape[1])):
+            i = at[k : k + max(1, FINE // cells.shape[1])]
+            # what is beyond a row's width is zero, so folding leaves narrow rows as they are
+            x = cells[a[i]] ^ cells[b[i]]
+            x = np.bitwise_xor.reduce(x.reshape(len(i), -1, w), axis=1)
+            out[i] = np.bitwise_count(x).sum(1, dtype=np.int64)
+    return out
+
+
 def tokens_of(docs: DataFrame, n: int) -> DataFrame:
     """(id, tokens): the whole set of each document, as ascending uint64."""
 
@@ -233,15 +263,19 @@ def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
     partners, of kind 2 too. Step `reps` takes these: like `first`, but only
     LIST neighbours by size are compared, and no member comes back. Step
     `near`: each member with its nearest partner. Step `all`: all pairs.
-    So all steps but `all` give no more rows than three times the members.
+    Rows of these two have `cells` (of `folded`) too, a further filter.
+    So all steps but `all` give no more rows than three times the members,
+    and `all` gives pairs that their cells don't rule out, if CELLS is enough
+    for their sizes.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["token", "sub", "side", "id", "n", "pos", "bits", "label", "open"]
+    fine = step in ("near", "all")
+    names = ["token", "sub", "side", "id", "n", "pos", "bits", "label", "open", *(["cells"] if fine else [])]
     rows = rows.select(*names).repartition(parts, "token", "sub").sortWithinPartitions("token", "sub", "n", "id")
 
     def each(part, end, i):
         """(i, j, differing cells) of the surviving pairs whose first member is among i, a distance in the list at a time."""
-        token, sub, side, own, n, pos, bits, label, _ = part
+        token, sub, side, own, n, pos, bits, label, _, cells, width = part
         d = 0
         while True:
             d += 1
@@ -259,11 +293,15 @@ def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
             a, b, need = a[ok], b[ok], need[ok]
             differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
             ok = differ <= n[a] + n[b] - 2 * need
+            if fine and ok.any():
+                a, b, need, differ = a[ok], b[ok], need[ok], differ[ok]
+                differ = np.maximum(differ, apart_by(a, b, cells, width))
+                ok = differ <= n[a] + n[b] - 2 * need
             if ok.any():
                 yield a[ok], b[ok], differ[ok]
 
     def out(kind, part, i, other=None):
-        token, _, _, own, n, pos, bits, _, several = part
+        token, _, _, own, n, pos, bits, _, several, _, _ = part
         none = np.zeros(len(i), np.int64)
         if kind == 0:
             return {"kind": none.astype(np.int32), "token": none, "id": own[i], "n": none, "pos": none.astype(np.int32), "bits": [None] * len(i), "open": none.astype(bool), "other": own[other]}
@@ -272,7 +310,7 @@ def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
 
     def work(held):
         part = [np.concatenate(x) for x in zip(*held)]
-        token, sub, _, own, _, _, _, _, several = part
+        token, sub, _, own, _, _, _, _, several, _, _ = part
         k = len(token)
         at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (sub[1:] != sub[:-1])))
         length = np.diff(np.append(at, k))
@@ -349,9 +387,12 @@ def partners(rows: DataFrame, num: int, den: int, step: str) -> DataFrame:
         for b in it:
             if not b.num_rows:
                 continue
-            token, sub, side, own, n, pos, label, several = (b[x].to_numpy(zero_copy_only=False) for x in names if x != "bits")
+            token, sub, side, own, n, pos, label, several = (b[x].to_numpy(zero_copy_only=False) for x in names if x not in ("bits", "cells"))
             bits = np.frombuffer(b"".join(b["bits"].to_pylist()), U).reshape(b.num_rows, -1)
-            part = (token, sub, side, own, n, pos.astype(np.int64), bits, label, several.astype(bool))
+            wide = b["cells"].to_pylist() if fine else []
+            width = np.array([len(x) for x in wide] if fine else np.zeros(b.num_rows), np.int64)
+            cells = np.frombuffer(b"".join(x.ljust(CELLS // 8, b"\0") for x in wide), np.uint8).reshape(b.num_rows, -1) if fine else np.zeros((b.num_rows, 0), np.uint8)
+            part = (token, sub, side, own, n, pos.astype(np.int64), bits, label, several.astype(bool), cells, width)
             if count >= GROUP:
                 differs = (token != last[0]) | (sub != last[1])
                 cut = int(np.argmax(differs)) if differs.any() else len(token)
@@ -464,7 +505,8 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
 
     def compared(rows: DataFrame, step: str) -> DataFrame:
         """New pairs of members that lie in different components."""
-        return ends(partners(tasks(rows, num, den), num, den, step)).join(tested, ["a", "b"], "left_anti")
+        rows = tasks(rows, num, den).join(cells.hint("merge"), ["id", "n"])
+        return ends(partners(rows, num, den, step)).join(tested, ["a", "b"], "left_anti")
 
     def fetched(pairs: DataFrame, merge: bool) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -478,6 +520,7 @@ def ngram_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Da
     if many:  # of the members of held lists alone
         own = held.select(F.col("id").alias("doc_id")).distinct()
         known_long = save(some.select("doc_id", "n", "cells").join(own.hint("merge"), "doc_id", "left_semi"))
+        cells = save(folded(known_long))
     rows = apart(labels) if many else None
     for step in ("near", "all") if rows is not None else ():
         new = save(compared(rows, step))

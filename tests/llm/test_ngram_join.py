@@ -55,6 +55,57 @@ def test_near_groups(spark, n, num, den):
     compare(spark, rows, n, num, den)
 
 
+def changed(rng, base, share, own):
+    """base with each word replaced, by one of its own, with a probability."""
+    return " ".join(f"{own}x{i}" if rng.random() < share else w for i, w in enumerate(base))
+
+
+def test_far_members_of_a_group_make_no_rows(spark, monkeypatch):
+    """Long texts that share a list but are too far from each other: 512 cells can't tell, more cells can before a pair is a row."""
+    made, partners = {}, ngram_join.partners
+
+    def counted(rows, num, den, step):
+        out = common.keep(partners(rows, num, den, step))
+        made[step] = made.get(step, 0) + out.where("kind = 0").count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "partners", counted)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(1500)]
+    rows = [(i, changed(rng, base, 0.15, i)) for i in range(60)]
+    compare(spark, rows, 1, 80, 100)
+    assert "all" in made and made["near"] + made["all"] < len(rows), made
+
+
+@pytest.mark.parametrize("most", [64, 512, 4096])
+def test_links_among_far_members(spark, monkeypatch, most):
+    """Chains of links within a group whose other members are far, sizes on both sides of a power of two of cells, and more than CELLS."""
+    monkeypatch.setattr(ngram_join, "CELLS", most)
+    rng = random.Random(most)
+    rows = []
+    for i in range(24):
+        w = changed(rng, [f"w{i}" for i in range(rng.randrange(480, 560))], 0.16, i)
+        rows.append((10 * i, w))
+        for j in range(1, rng.randrange(5)):
+            w = changed(rng, w.split(), rng.choice([0.02, 0.09, 0.12]), f"{i}y{j}")
+            rows.append((10 * i + j, w))
+    compare(spark, rows, 1, 80, 100)
+
+
+def test_apart_by():
+    """Differences of folded cells are those of cells counted at the smaller width, and never more than the sets'."""
+    rng = np.random.default_rng(4)
+    width = np.array([8, 16, 64, 64, 32, 8])
+    cells = np.zeros((6, 64), np.uint8)
+    for i, w in enumerate(width):
+        cells[i, :w] = rng.integers(0, 256, w)
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    for i, j, d in zip(a, b, ngram_join.apart_by(a, b, cells, width)):
+        w = min(width[i], width[j])
+        x, y = (np.bitwise_xor.reduce(cells[k, : width[k]].reshape(-1, w)) for k in (i, j))
+        assert d == np.bitwise_count(x ^ y).sum(dtype=np.int64)
+
+
 def test_blocks_and_groups(spark, monkeypatch):
     """Lists longer than a block are compared block against block."""
     monkeypatch.setattr(ngram_join, "LIST", 8)
